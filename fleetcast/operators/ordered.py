@@ -151,15 +151,21 @@ def ranked_histogram(
     keys: Sequence[str],
     value: str,
     weights: dict[str, Column] | None = None,
+    *,
+    count: Column | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with counts, counts before it in the order, and key totals.
 
     ``weights`` are extra summed measures. For each measure ``m`` (``n`` is the row count)
     the result has ``m``, ``m_before`` and ``m_total``. Duplicates are merged before any
-    ordering, so a value held by a third of the rows costs one row.
+    ordering, so a value held by a third of the rows costs one row. ``count`` gives the
+    row count of input that is already merged.
     """
-    measures = {"n": F.count(F.lit(1)), **{m: F.sum(e) for m, e in (weights or {}).items()}}
+    if not keys:
+        raise ValueError("name at least one key (a constant column for a single group)")
+    n = F.count(F.lit(1)) if count is None else F.sum(count)
+    measures = {"n": n, **{m: F.sum(e) for m, e in (weights or {}).items()}}
     hist = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -186,9 +192,7 @@ def ranked_histogram(
             for m in names
         ],
     )
-    if keys:
-        return out.join(totals, list(keys))
-    return out.crossJoin(F.broadcast(totals))  # totals is one row
+    return out.join(totals, list(keys))
 
 
 def quantiles(
@@ -219,7 +223,13 @@ def quantiles(
     )
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def average_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weights: dict[str, Column] | None = None,
+    count: Column | None = None,
+) -> DataFrame:
     """Histogram with ``avg_rank``, the mean 1-based rank that tied values share."""
-    ranked = ranked_histogram(df, keys, value)
+    ranked = ranked_histogram(df, keys, value, weights, count=count)
     return ranked.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.operators.ordered import CHUNK, POS, carry_over, chunk_window, join_carry, order_chunks
+from fleetcast.operators.ordered import carry_over, chunk_window, join_carry, order_chunks
 from fleetcast.roles import DAY_US, HORIZONS_H, HOUR_US
 
 # Columns added by event_context, all in microseconds or counts.
@@ -31,6 +31,7 @@ CONTEXT = (
 
 _INCIDENT_DAYS = (7, 30)
 _MAINTENANCE_DAYS = 30
+_MARKS = ("has_inc", "n_start", "d_inc7", "d_inc30", "d_mnt30")
 
 
 def _event_rows(incidents: DataFrame, maintenance: DataFrame, entity: str) -> DataFrame:
@@ -39,28 +40,32 @@ def _event_rows(incidents: DataFrame, maintenance: DataFrame, entity: str) -> Da
     An event adds one to its past counts at its own time and takes it back one look-back
     later, so a sliding count becomes a running total.
     """
-    shape = ("has_inc", "n_start", "end_us", "d_inc7", "d_inc30", "d_mnt30")
-
-    def marks(df: DataFrame, at, **given) -> DataFrame:
-        zero = {c: F.lit(0).cast("long") for c in shape if c != "end_us"}
-        cols = {**zero, "end_us": F.lit(None).cast("long"), **given}
-        return df.select(entity, at.alias("us"), *[cols[c].cast("long").alias(c) for c in shape])
-
     inc = incidents.filter(F.col(entity).isNotNull() & F.col("us").isNotNull())
     mnt = maintenance.filter(F.col(entity).isNotNull() & F.col("us").isNotNull())
-    us, one, back = F.col("us"), F.lit(1), F.lit(-1)
+    no_end = F.lit(None).cast("long")
+
+    def mark(at, end=no_end, **given):
+        cols = [F.lit(given.get(c, 0)).cast("long").alias(c) for c in _MARKS]
+        return F.struct(at.alias("us"), end.alias("end_us"), *cols)
+
+    us = F.col("us")
     d7, d30 = (d * DAY_US for d in _INCIDENT_DAYS)
-    rows = (
-        marks(inc, us, has_inc=one, d_inc7=one, d_inc30=one)
-        .unionByName(marks(inc, us + d7, d_inc7=back))
-        .unionByName(marks(inc, us + d30, d_inc30=back))
-        .unionByName(marks(mnt, us, n_start=one, end_us=F.col("end_us"), d_mnt30=one))
-        .unionByName(marks(mnt, us + _MAINTENANCE_DAYS * DAY_US, d_mnt30=back))
+    inc_marks = F.array(
+        mark(us, has_inc=1, d_inc7=1, d_inc30=1),
+        mark(us + d7, d_inc7=-1),
+        mark(us + d30, d_inc30=-1),
+    )
+    mnt_marks = F.array(
+        mark(us, F.col("end_us"), n_start=1, d_mnt30=1),
+        mark(us + _MAINTENANCE_DAYS * DAY_US, d_mnt30=-1),
+    )
+    rows = inc.select(entity, F.inline(inc_marks)).unionByName(
+        mnt.select(entity, F.inline(mnt_marks))
     )
     return rows.groupBy(entity, "us").agg(
-        F.max("has_inc").alias("has_inc"),
         F.max("end_us").alias("end_us"),
-        *[F.sum(c).alias(c) for c in shape if c not in ("has_inc", "end_us")],
+        F.max("has_inc").alias("has_inc"),
+        *[F.sum(c).alias(c) for c in _MARKS if c != "has_inc"],
     )
 
 
