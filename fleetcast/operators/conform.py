@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fleetcast.functions.incident import confidence_columns, dominant_signal, signal_count
 from fleetcast.functions.time import date_and_clock, iso_week, time_axes
-from fleetcast.operators.ordered import CHUNK, IDX, POS, order_chunks, quantiles, with_index
+from fleetcast.operators.ordered import IDX, number_order, quantiles
 from fleetcast.roles import (
     CAPACITY_RATIO_TOLERANCE,
     INCIDENT_SIGNALS,
@@ -59,14 +59,12 @@ def column_roles(
 def surrogate_dimension(df: DataFrame, name: str, key: str, label: str = "name") -> DataFrame:
     """Sorted distinct values numbered 1..N."""
     values = df.select(F.col(name).alias(label)).filter(F.col(label).isNotNull()).distinct()
-    numbered = with_index(order_chunks(values, [label]))
-    return numbered.select((F.col(IDX) + 1).alias(key), label)
+    return number_order(values, [label]).select((F.col(IDX) + 1).alias(key), label)
 
 
 def number_rows(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Dense 1..N id in the order of ``by`` (which should be unique)."""
-    numbered = with_index(order_chunks(df, by))
-    return numbered.withColumn(key, F.col(IDX) + 1).drop(IDX, CHUNK, POS)
+    return number_order(df, by).withColumn(key, F.col(IDX) + 1).drop(IDX)
 
 
 def sensor_dimension(spark: SparkSession, units: Mapping[str, str] = SENSOR_UNITS) -> DataFrame:

@@ -26,6 +26,10 @@ CHUNKS_CONF = "spark.fleetcast.orderChunks"
 
 _POS_MASK = (1 << 33) - 1
 
+# rank error of the quantile sketch is 1 / accuracy; brackets are several errors wide
+_SKETCH_ACCURACY = 10_000
+_BRACKET = 4
+
 
 def order_chunks(df: DataFrame, by: Sequence[str], parts: int | None = None) -> DataFrame:
     """Range-partition ``df`` on ``by`` and stage it with a chunk number and a position.
@@ -200,27 +204,78 @@ def quantiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    parts: int | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key: columns named by ``probs``, plus ``n``."""
-    ranked = ranked_histogram(df, keys, value, parts=parts)
+    """Exact linearly interpolated quantiles per key: columns named by ``probs``, plus ``n``.
+
+    A sketch brackets every quantile; one more pass keeps the distinct values inside the
+    brackets (a tiny share of the data) and merges all others into one row per side, and
+    only those few rows are ordered. Should a bracket miss its rank, the full order of
+    values is used instead.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    edges = [
+        min(1.0, max(0.0, p + side * _BRACKET / _SKETCH_ACCURACY))
+        for p in probs.values()
+        for side in (-1, 1)
+    ]
+    sketch = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, _SKETCH_ACCURACY).alias("_e")
+    )
+    slots = F.array(
+        *[
+            F.struct(F.lit(i).alias("slot"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi"))
+            for i in range(len(probs))
+        ]
+    )
+    v = F.col("_v")
+    side = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)
+    placed = (
+        rows.join(sketch.select(*keys, slots.alias("_slots")), list(keys))
+        .select(*keys, "_v", F.inline("_slots"))
+        .select(*keys, "slot", "_v", side.alias("side"))
+    )
+    merged = placed.groupBy(
+        *keys, "slot", "side", F.when(F.col("side") == 0, v).alias("_inside")
+    ).agg(
+        F.count(F.lit(1)).alias("_m"),
+        # the values next to the bracket may be needed as interpolation partners
+        F.when(F.col("side") < 0, F.max("_v")).otherwise(F.min("_v")).alias("_v"),
+    )
+    ranked = ranked_histogram(
+        merged.drop("_inside"), [*keys, "slot"], "_v", {"_out": F.abs("side")}, count=F.col("_m")
+    )
+    got = _interpolated(ranked, keys, probs)
+    if got.filter("_missed").isEmpty():
+        return got.drop("_missed")
+    full = ranked_histogram(rows, keys, "_v").withColumn("_out", F.lit(0))
+    every = F.explode(F.array(*[F.lit(i) for i in range(len(probs))])).alias("slot")
+    return _interpolated(full.select("*", every), keys, probs).drop("_missed")
+
+
+def _interpolated(ranked: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles from rows (keys, slot, value, n, n_before, n_total); ``_missed`` if a rank is unknown."""
     aggs = [F.max("n_total").alias("n")]
-    for name, p in probs.items():
+    for i, p in enumerate(probs.values()):
         pos = F.lit(p) * (F.col("n_total") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
-        aggs.append(F.max(pos - lo).alias(f"_f_{name}"))
+        mine = F.col("slot") == i
+        aggs.append(F.max(F.when(mine, pos - lo)).alias(f"_f{i}"))
+        first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
         for tag, rank in (("lo", lo), ("hi", hi)):
-            held = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-            aggs.append(F.max(F.when(held, F.col(value).cast("double"))).alias(f"_{tag}_{name}"))
+            # of the rows merged outside the bracket only the nearest value is known
+            held = (
+                F.when(F.col("_out") == 0, (first <= rank) & (rank <= last))
+                .when(F.col("n_before") == 0, rank == last)
+                .otherwise(rank == first)
+            )
+            aggs.append(F.max(F.when(mine & held, F.col("_v"))).alias(f"_{tag}{i}"))
     got = ranked.groupBy(*keys).agg(*aggs)
-    return got.select(
-        *keys,
-        "n",
-        *[
-            (F.col(f"_lo_{p}") + F.col(f"_f_{p}") * (F.col(f"_hi_{p}") - F.col(f"_lo_{p}"))).alias(p)
-            for p in probs
-        ],
-    )
+    out, missed = [], F.lit(False)
+    for i, name in enumerate(probs):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append((lo + F.col(f"_f{i}") * (hi - lo)).alias(name))
+        missed = missed | lo.isNull() | hi.isNull()
+    return got.select(*keys, "n", *out, missed.alias("_missed"))
 
 
 def average_ranks(
@@ -233,3 +288,8 @@ def average_ranks(
     """Histogram with ``avg_rank``, the mean 1-based rank that tied values share."""
     ranked = ranked_histogram(df, keys, value, weights, count=count)
     return ranked.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2)
+
+
+def number_order(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with its dense position in the order of ``by``."""
+    return with_index(order_chunks(df, by)).drop(CHUNK, POS)

@@ -8,16 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.operators.ordered import (
-    IDX,
-    carry_over,
-    chunk_window,
-    join_carry,
-    order_chunks,
-    quantiles,
-    with_index,
-)
+from fleetcast.operators.ordered import carry_over, chunk_window, join_carry, quantiles
 from fleetcast.operators.reshape import long_rows, measures_long
+from fleetcast.operators.timeline import with_position
 from fleetcast.roles import (
     IQR_FACTOR,
     SATURATION_MIN_HITS,
@@ -38,18 +31,17 @@ def dedup_first(df: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> Data
     return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
-def interpolate(
-    context: DataFrame, roles: Roles, *, by: str = "position", parts: int | None = None
-) -> DataFrame:
+def interpolate(chunks: DataFrame, roles: Roles, *, by: str = "position") -> DataFrame:
     """Fill missing sensor values linearly inside a segment, outside maintenance.
 
-    Steps count operational readings (``by="position"``) or elapsed time (``by="time"``);
-    both edges take the nearest value; a segment without any value stays missing, and so
-    do readings during maintenance. ``<sensor>_was_imputed`` marks what was filled.
+    ``chunks`` comes from :func:`~fleetcast.operators.timeline.context_chunks`. Steps count
+    operational readings (``by="position"``) or elapsed time (``by="time"``); both edges
+    take the nearest value; a segment without any value stays missing, and so do readings
+    during maintenance. ``<sensor>_was_imputed`` marks what was filled.
     """
     keys = [roles.entity, roles.segment, roles.during]
-    chunked = with_index(order_chunks(context, [*keys, roles.us], parts))
-    x = {"position": IDX, "time": roles.us}[by]
+    x = {"position": "_x", "time": roles.us}[by]
+    chunked = with_position(chunks, keys, x) if by == "position" else chunks
 
     def known(s: str) -> Column:
         usable = F.col(s).isNotNull() & ~F.col(roles.during)
@@ -69,8 +61,8 @@ def interpolate(
         backward=True,
     )
     line = join_carry(join_carry(chunked, keys, before), keys, after)
-    asc = chunk_window(keys, IDX).rowsBetween(Window.unboundedPreceding, 0)
-    desc = chunk_window(keys, F.col(IDX).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    asc = chunk_window(keys, roles.us).rowsBetween(Window.unboundedPreceding, 0)
+    desc = chunk_window(keys, F.col(roles.us).desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = line.withColumns(
         {
             **{
@@ -96,12 +88,12 @@ def interpolate(
     marks = {
         f"{s}_was_imputed": F.col(s).isNull() & filled(s).isNotNull() for s in roles.sensors
     }
-    plain = [c for c in context.columns if c not in roles.sensors]
+    plain = [c for c in chunks.columns if c not in roles.sensors]
     return near.select(
         *plain,
         *[c.alias(n) for n, c in values.items()],
         *[c.alias(n) for n, c in marks.items()],
-    ).select(*context.columns, *marks)
+    ).select(*chunks.columns, *marks)
 
 
 def impute_constant(

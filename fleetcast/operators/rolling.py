@@ -15,26 +15,22 @@ from pyspark.sql import functions as F
 from fleetcast.operators.ordered import (
     CHUNK,
     HALO,
-    IDX,
     carry_over,
     chunk_window,
     join_carry,
-    order_chunks,
     with_halo,
-    with_index,
 )
+from fleetcast.operators.timeline import with_position
 from fleetcast.roles import HOUR_US, Roles
 
 STATS = ("mean", "std", "min", "max", "slope")
 
 
-def segment_chunks(operational: DataFrame, roles: Roles, parts: int | None = None) -> DataFrame:
-    """Operational readings ordered by (entity, segment, time) in chunks."""
-    return order_chunks(operational, [roles.entity, roles.segment, roles.us], parts)
-
-
 def segment_frame(chunked: DataFrame, roles: Roles, reach_h: int | None = None) -> DataFrame:
-    """Chunk rows with their halo, the segment start and the production total brought in."""
+    """Operational readings with their halo, the segment start and the production total brought in.
+
+    ``chunked`` holds the operational rows of staged context chunks.
+    """
     keys = [roles.entity, roles.segment]
     partials = {"_c_start": F.min(roles.us)}
     merge = {"_c_start": F.min}
@@ -139,17 +135,14 @@ def hours_in_segment(frame: DataFrame, roles: Roles) -> DataFrame:
 
 
 def lag_features(
-    operational: DataFrame,
-    roles: Roles,
-    lags: Sequence[int] = (1, 3, 6),
-    parts: int | None = None,
+    chunked: DataFrame, roles: Roles, lags: Sequence[int] = (1, 3, 6)
 ) -> DataFrame:
-    """Sensor values 1, 3, 6 readings earlier in the same segment."""
+    """Sensor values 1, 3, 6 operational readings earlier in the same segment."""
     keys = _keys(roles)
-    indexed = with_index(segment_chunks(operational, roles, parts))
-    frame = with_halo(indexed, keys, IDX, max(lags) + 1)
-    w = chunk_window(keys, IDX)
+    placed = with_position(chunked, keys, "place")
+    frame = with_halo(placed, keys, "place", max(lags) + 1)
+    w = chunk_window(keys, "place")
     return apply_features(
         frame,
         {f"{s}_lag_{k}": F.lag(s, k).over(w) for s in roles.sensors for k in lags},
-    )
+    ).drop("place")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.operators.ordered import IDX, order_chunks, with_index
+from fleetcast.operators.ordered import IDX, number_order
 from fleetcast.operators.reshape import long_rows, measures_long
 from fleetcast.roles import HORIZONS_H, SMD_NOTABLE, SPLIT_RATIOS, SPLITS
 
@@ -101,7 +101,7 @@ def split_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def chronological_index(df: DataFrame, us: str, ties: Sequence[str]) -> DataFrame:
     """Dense position in global time order (``ties`` settle equal instants)."""
-    return with_index(order_chunks(df, [us, *ties]))
+    return number_order(df, [us, *ties])
 
 
 def fold_starts(n: int, k: int) -> list[tuple[int, int, int]]:

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.operators.ordered import carry_over, chunk_window, join_carry, order_chunks
-from fleetcast.roles import DAY_US, HORIZONS_H, HOUR_US
+from fleetcast.operators.ordered import CHUNK, carry_over, chunk_window, join_carry, order_chunks
+from fleetcast.roles import DAY_US, HORIZONS_H, HOUR_US, Roles
+from fleetcast.session import stage
 
 # Columns added by event_context, all in microseconds or counts.
 CONTEXT = (
@@ -75,13 +76,16 @@ def event_context(
     maintenance: DataFrame,
     entity: str,
     parts: int | None = None,
+    *,
+    keep_chunks: bool = False,
 ) -> DataFrame:
     """Add to every reading its maintenance segment, interval membership and nearest events.
 
     ``readings`` has ``entity`` and ``us``; ``incidents`` the same; ``maintenance`` has
     ``entity``, ``us`` (start) and ``end_us``. Edges: segment counts starts <= t; membership
     is [start, end); last maintenance is the last one started <= t; last incident is < t and
-    next incident > t; counts cover [t - H, t).
+    next incident > t; counts cover [t - H, t). ``keep_chunks`` keeps the order chunks for
+    operators that go on with the same order.
     """
     payload = [c for c in readings.columns if c not in (entity, "us")]
     events = _event_rows(incidents, maintenance, entity)
@@ -121,10 +125,12 @@ def event_context(
 
     last = F.coalesce(F.max(started).over(upto), F.col("c_last"))
     seen_end = F.greatest(F.max("end_us").over(upto), F.col("c_end"))
+    kept = [CHUNK] if keep_chunks else []
     out = line.select(
         entity,
         "us",
         *payload,
+        *kept,
         "_reading",
         running("n_start", "c_start", upto).alias("segment"),
         F.coalesce(seen_end > F.col("us"), F.lit(False)).alias("during_maintenance"),
@@ -139,6 +145,7 @@ def event_context(
         entity,
         "us",
         *payload,
+        *kept,
         "segment",
         "during_maintenance",
         F.col("_last.us").alias("last_start_us"),
@@ -147,6 +154,33 @@ def event_context(
     )
 
 
+STEP = "_step"
+
+
+def context_chunks(context: DataFrame, roles: Roles, parts: int | None = None) -> DataFrame:
+    """Stage readings with context in their order chunks, with their place in the chunk.
+
+    Inside a segment the readings under maintenance come first, since no later interval
+    starts there; the (entity, time) order therefore also keeps the operational readings
+    of a segment together, and the chunks of the time line serve every segment operator.
+    ``_step`` counts a segment's readings of one regime inside the chunk.
+    """
+    if CHUNK not in context.columns:
+        context = order_chunks(context, [roles.entity, roles.us], parts)
+    keys = [roles.entity, roles.segment, roles.during]
+    return stage(context.withColumn(STEP, F.row_number().over(chunk_window(keys, roles.us))))
+
+
+def with_position(chunks: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Position of a reading in its segment and regime, across chunks."""
+    earlier = carry_over(chunks, keys, {"_c_n": F.count(F.lit(1))}, {"_c_n": F.sum})
+    return (
+        join_carry(chunks, keys, earlier)
+        .withColumn(name, F.coalesce(F.col("_c_n"), F.lit(0)) + F.col(STEP))
+        .drop("_c_n")
+    )
+
+
 def hours(us_column):
     """Microseconds as hours."""
     return us_column / F.lit(HOUR_US)

@@ -19,9 +19,10 @@ from fleetcast.operators.conform import (
     sensor_dimension,
     surrogate_dimension,
 )
+from fleetcast.operators.ordered import CHUNK
 from fleetcast.operators.quality import dedup_first, flag_outliers, flag_saturation, interpolate
 from fleetcast.operators.reshape import sensor_measurements
-from fleetcast.operators.timeline import CONTEXT, event_context
+from fleetcast.operators.timeline import CONTEXT, STEP, context_chunks, event_context
 from fleetcast.roles import HOUR_US, INCIDENT_SIGNALS, SENSOR_UNITS, Roles
 from fleetcast.session import stage
 
@@ -38,8 +39,8 @@ def clean_telemetry(
     ``readings`` must be unique per (entity, time). The filled table is staged: the outlier
     and saturation statistics each read it again.
     """
-    context = event_context(readings, incidents, maintenance, roles.entity)
-    filled = stage(interpolate(context, roles))
+    context = event_context(readings, incidents, maintenance, roles.entity, keep_chunks=True)
+    filled = stage(interpolate(context_chunks(context, roles), roles))
     return flag_saturation(flag_outliers(filled, roles.sensors), roles.sensors, width)
 
 
@@ -100,7 +101,7 @@ def build_silver(
     )
     clean = stage(
         number_rows(
-            clean.drop(*[c for c in CONTEXT if c != roles.during]), [roles.entity, "us"], "reading_id"
+            clean.drop(CHUNK, STEP, *[c for c in CONTEXT if c != roles.during]), [roles.entity, "us"], "reading_id"
         )
     )
     header = lookup_key(clean, machine, roles.entity, "machine_code", "machine_pk")

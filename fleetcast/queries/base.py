@@ -178,8 +178,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     joined = orders.join(cust, orders.o_custkey == cust.c_custkey)
     sev = F.substring("o_orderpriority", 1, 1).cast("int")
     price = F.col("o_totalprice")
-    hour = F.floor(price / 1000).cast("long")
-    hour = hour - F.floor(hour / 24) * 24
+    hour = F.least(F.floor(price / 21_000), F.lit(23)).cast("long")
     return joined.select(
         F.col("o_orderkey").alias("incident_id"),
         F.to_date("o_orderdate").alias("date"),
@@ -219,7 +218,7 @@ REPORT_FLAGS = ("type_heat", "type_pressure", "type_noise")
 
 REPORTS_SQL = """
 base AS (
-  SELECT o.*, c.*, CAST(floor(o_totalprice / 1000) AS BIGINT) % 24 AS hour,
+  SELECT o.*, c.*, CAST(least(floor(o_totalprice / 21000), 23) AS BIGINT) AS hour,
          CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS sev
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
 reports0 AS (
@@ -251,7 +250,7 @@ def machines(spark: SparkSession, sf: str) -> DataFrame:
     supplier = read_table(spark, sf, "supplier")
     nation = read_table(spark, sf, "nation")
     region = read_table(spark, sf, "region")
-    hourly = (F.lit(40) + F.col("s_suppkey") - F.floor(F.col("s_suppkey") / 11) * 11).cast("int")
+    hourly = F.lit(40) + F.col("s_nationkey")
     base = (
         supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -279,9 +278,9 @@ MACHINES_SQL = """
 machine AS (
   SELECT printf('MACH-%06d', s_suppkey) AS machine_code,
     CAST(DATE '2015-01-01' + CAST(s_nationkey * 97 AS INTEGER) AS DATE) AS commissioning_date,
-    CAST((40 + s_suppkey % 11) * CASE WHEN s_acctbal > 9000 THEN 20 ELSE 16 END AS INTEGER)
+    CAST((40 + s_nationkey) * CASE WHEN s_acctbal > 9000 THEN 20 ELSE 16 END AS INTEGER)
       AS max_daily_capacity,
-    CAST(40 + s_suppkey % 11 AS INTEGER) AS max_hourly_capacity_pieces,
+    CAST(40 + s_nationkey AS INTEGER) AS max_hourly_capacity_pieces,
     n_name AS model, 'LINE-' || n_regionkey AS production_line, r_name AS location,
     CASE WHEN s_acctbal < 2000 THEN 'LOW' WHEN s_acctbal < 7000 THEN 'MEDIUM' ELSE 'HIGH' END
       AS criticality

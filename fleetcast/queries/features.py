@@ -13,7 +13,6 @@ from fleetcast.operators.rolling import (
     production_columns,
     quality_columns,
     rolling_columns,
-    segment_chunks,
     segment_frame,
 )
 from fleetcast.operators.splits import (
@@ -24,7 +23,7 @@ from fleetcast.operators.splits import (
     split_shares as shares_by_split,
     split_smd as smd_by_split,
 )
-from fleetcast.operators.timeline import label_columns
+from fleetcast.operators.timeline import context_chunks, label_columns
 from fleetcast.plans.gold import feature_matrix, matrix_metrics, static_columns
 from fleetcast.plans.silver import clean_metrics as metrics_of_clean, clean_telemetry
 from fleetcast.queries.base import (
@@ -49,8 +48,12 @@ SENSORS = LOG.sensors
 LOG_WIDTH = {"s2": 0.5}
 
 
+def log_chunks(spark, sf, *payload):
+    return context_chunks(context(spark, sf, *payload, keep_chunks=True), LOG)
+
+
 def operational(spark, sf, *payload):
-    return context(spark, sf, *payload).filter("NOT during_maintenance")
+    return log_chunks(spark, sf, *payload).filter("NOT during_maintenance")
 
 
 def assets(spark, sf):
@@ -124,7 +127,7 @@ SLOPE_COLS = [f"{s}_slope_{h}h" for h in HOURS for s in SENSORS]
     + f" FROM ops {windows_sql()}) SELECT event_id, {rounded_sql(BASIC_COLS)} FROM f",
 )
 def rolling_stats(spark, sf):
-    frame = segment_frame(segment_chunks(operational(spark, sf, "s1", "s2"), LOG), LOG)
+    frame = segment_frame(operational(spark, sf, "s1", "s2"), LOG)
     out = apply_features(frame, rolling_columns(LOG, BASIC))
     return rounded(out.select("event_id", *BASIC_COLS), *BASIC_COLS)
 
@@ -136,7 +139,7 @@ def rolling_stats(spark, sf):
     + f" FROM ops {windows_sql()}) SELECT event_id, {rounded_sql(SLOPE_COLS, 3)} FROM f",
 )
 def rolling_slope(spark, sf):
-    frame = segment_frame(segment_chunks(operational(spark, sf, "s1", "s2"), LOG), LOG)
+    frame = segment_frame(operational(spark, sf, "s1", "s2"), LOG)
     out = apply_features(frame, rolling_columns(LOG, ("slope",)))
     return rounded(out.select("event_id", *SLOPE_COLS), *SLOPE_COLS, digits=3)
 
@@ -154,8 +157,8 @@ def rolling_slope(spark, sf):
     FROM f LEFT JOIN assets USING (user_id)""",
 )
 def production(spark, sf):
-    chunked = segment_chunks(operational(spark, sf, "pieces"), LOG)
-    out = apply_features(segment_frame(chunked, LOG), production_columns(LOG))
+    frame = segment_frame(operational(spark, sf, "pieces"), LOG)
+    out = apply_features(frame, production_columns(LOG))
     out = out.join(assets(spark, sf), "user_id", "left").withColumn(
         "utilisation",
         F.try_divide(F.col("pieces").cast("double"), F.col("max_hourly_capacity_pieces")),
@@ -169,7 +172,7 @@ def production(spark, sf):
     f"WITH {OPS_SQL} SELECT event_id, round(x, 6) AS hours_in_segment FROM ops",
 )
 def hours_in_segment(spark, sf):
-    frame = segment_frame(segment_chunks(operational(spark, sf), LOG), LOG)
+    frame = segment_frame(operational(spark, sf), LOG)
     out = add_hours_in_segment(frame, LOG).select("event_id", "hours_in_segment")
     return rounded(out, "hours_in_segment")
 
@@ -270,7 +273,7 @@ clean AS (SELECT filled.*, """
     + " FROM filled",
 )
 def interpolate_query(spark, sf):
-    out = interpolate(context(spark, sf, "s1", "s2"), LOG)
+    out = interpolate(log_chunks(spark, sf, "s1", "s2"), LOG)
     marks = [f"{s}_was_imputed" for s in SENSORS]
     return rounded(out.select("event_id", "during_maintenance", *SENSORS, *marks), *SENSORS)
 
@@ -322,7 +325,7 @@ def quality_sql() -> str:
 )
 def quality_counts(spark, sf):
     ops = clean_log(spark, sf).filter("NOT during_maintenance")
-    frame = segment_frame(segment_chunks(ops, LOG), LOG)
+    frame = segment_frame(ops, LOG)
     return apply_features(frame, quality_columns(LOG)).select("event_id", *_QUALITY)
 
 
@@ -494,8 +497,8 @@ def chrono_split(spark, sf):
     + " FROM l GROUP BY h",
 )
 def split_label_rates(spark, sf):
-    labelled = context(spark, sf).withColumns(label_columns(LOG.horizons_h))
-    return label_rates(assign_split(stage(labelled), "us"), LOG.horizons_h)
+    labelled = stage(context(spark, sf).withColumns(label_columns(LOG.horizons_h)))
+    return label_rates(assign_split(labelled, "us"), LOG.horizons_h)
 
 
 @query(

@@ -1 +1,152 @@
-"""Placeholder."""
+"""Schema contracts, personal-data scan, feature roles, importance tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetcast.operators.conform import column_roles, pii_scan as scan_names
+from fleetcast.operators.contract import build_contract, column_types, compare_schemas
+from fleetcast.operators.contract import load_contract, save_contract, schema_drift as drift
+from fleetcast.operators.explain import compare_importance, importance_table as importance, linear_attributions
+from fleetcast.operators.quality import fit_constants
+from fleetcast.operators.stats import profile as profile_table
+from fleetcast.queries.base import query, reports, rounded, telemetry
+from fleetcast.session import scratch_dir
+from fleetcast.sources.sinks import new_path
+from fleetcast.sources.tables import read_table
+
+_EVENT_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
+                "value": "double", "props": "string"}
+
+
+@query(
+    "profile",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS non_null, count(DISTINCT {c}) AS n_unique FROM events"
+        for c, t in _EVENT_TYPES.items()
+    ),
+)
+def profile(spark, sf):
+    return profile_table(read_table(spark, sf, "events"))
+
+
+def _changed(events):
+    """The events table as a later delivery: one column gone, one new, one retyped."""
+    return events.drop("props").withColumn("site", F.lit("x")).withColumn("value", F.col("value").cast("float"))
+
+
+@query(
+    "schema_compare",
+    """SELECT * FROM (VALUES ('props', 'string', NULL, 'removed'), ('site', NULL, 'string', 'added'),
+    ('value', 'double', 'float', 'retyped')) AS t("column", old_type, new_type, change)
+    WHERE EXISTS (SELECT 1 FROM events)""",
+)
+def schema_compare(spark, sf):
+    events = read_table(spark, sf, "events")
+    # only columns that hold data take part
+    live = profile_table(_changed(events)).filter("non_null > 0").select("column", "type")
+    return compare_schemas(column_types(events), live)
+
+
+@query(
+    "schema_drift",
+    """SELECT * FROM (VALUES ('events', 'props', 'removed', 'string', NULL), ('events', 'site', 'added', NULL, 'string'),
+    ('events', 'value', 'retyped', 'double', 'float'), ('nation', 'n_nationkey', 'vanished_source', 'int', NULL),
+    ('nation', 'n_name', 'vanished_source', 'string', NULL), ('nation', 'n_regionkey', 'vanished_source', 'int', NULL),
+    ('region', 'r_regionkey', 'new_source', NULL, 'int'), ('region', 'r_name', 'new_source', NULL, 'string'))
+    AS t(source, "column", change, old_type, new_type) WHERE EXISTS (SELECT 1 FROM events)""",
+)
+def schema_drift(spark, sf):
+    events, nation, region = (read_table(spark, sf, t) for t in ("events", "nation", "region"))
+    path = new_path(scratch_dir(spark), "contract")
+    save_contract(build_contract({"events": events, "nation": nation}), path)
+    return drift(load_contract(spark, path), build_contract({"events": _changed(events), "region": region}))
+
+
+@query(
+    "pii_scan",
+    f"""SELECT * FROM (VALUES {", ".join(f"('{c}', {str(any(p in c for p in ('name', 'badge', 'operator'))).lower()})" for c in
+    ("incident_id", "date", "time", "operator_name", "operator_badge", "machine_id", "severity", "comment", "status", "hour", "type_heat", "type_pressure", "type_noise", "shift"))})
+    AS t("column", is_pii) WHERE EXISTS (SELECT 1 FROM orders)""",
+)
+def pii_scan(spark, sf):
+    table = reports(spark, sf)
+    live = profile_table(table, approximate=True).filter("non_null > 0")
+    return scan_names(table).join(live.select("column"), "column", "left_semi")
+
+
+@query(
+    "ml_feature_select",
+    """SELECT * FROM (VALUES ('l_quantity', 'numeric'), ('l_extendedprice', 'numeric'), ('l_discount', 'numeric'),
+    ('l_tax', 'numeric'), ('l_returnflag', 'categorical')) AS t(feature, role) WHERE EXISTS (SELECT 1 FROM lineitem)""",
+)
+def ml_feature_select(spark, sf):
+    df = telemetry(spark, sf)
+    ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    numeric, categorical = column_roles(df, "l_linestatus", ids, ["l_returnflag", "l_linestatus"])
+    rows = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical]
+    roles = spark.createDataFrame(rows, "feature string, role string")
+    live = profile_table(df, approximate=True).filter("non_null > 0").select(F.col("column").alias("feature"))
+    return roles.join(live, "feature", "left_semi")
+
+
+_WEIGHTS = {"l_quantity": 0.5, "l_extendedprice": -0.001, "l_discount": 20.0, "l_tax": -10.0}
+_OTHER = {"l_quantity": 0.1, "l_extendedprice": -0.002, "l_discount": 40.0}
+
+
+def _table(spark, sf, weights):
+    df = telemetry(spark, sf)
+    means = fit_constants(df, list(weights), "mean")
+    return importance(linear_attributions(df, weights, means))
+
+
+def _table_sql(weights, name):
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg(abs({w} * ({c} - m_{c}))) AS mean_abs FROM lineitem, means" for c, w in weights.items()
+    )
+    return f"""{name}0 AS ({parts}),
+    {name} AS (SELECT feature, mean_abs, mean_abs / sum(mean_abs) OVER () AS share,
+      row_number() OVER (ORDER BY mean_abs DESC, feature) AS rk FROM {name}0)"""
+
+
+_MEANS_SQL = "means AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in _WEIGHTS) + " FROM lineitem)"
+
+
+@query(
+    "importance_table",
+    f"WITH {_MEANS_SQL}, {_table_sql(_WEIGHTS, 't')} SELECT feature, round(mean_abs, 6) AS mean_abs, round(share, 6) AS importance_share FROM t",
+)
+def importance_table(spark, sf):
+    return rounded(_table(spark, sf, _WEIGHTS), "mean_abs", "importance_share")
+
+
+@query(
+    "importance_compare",
+    f"""WITH {_MEANS_SQL}, {_table_sql(_WEIGHTS, 'a')}, {_table_sql(_OTHER, 'b')},
+    j AS (SELECT coalesce(a.feature, b.feature) AS feature, coalesce(a.mean_abs, 0) AS mean_abs_first, coalesce(b.mean_abs, 0) AS mean_abs_second,
+      coalesce(a.share, 0) AS share_first, coalesce(b.share, 0) AS share_second, a.rk AS ra, b.rk AS rb
+      FROM a FULL JOIN b ON a.feature = b.feature)
+    SELECT feature, round(mean_abs_first, 6) AS mean_abs_first, round(mean_abs_second, 6) AS mean_abs_second,
+      round(share_first, 6) AS share_first, round(share_second, 6) AS share_second,
+      CAST(coalesce(ra, 5) AS INTEGER) AS rank_first, CAST(coalesce(rb, 5) AS INTEGER) AS rank_second,
+      CAST(coalesce(ra, 5) - coalesce(rb, 5) AS INTEGER) AS delta_rank
+    FROM j WHERE ra <= 3 OR rb <= 3""",
+)
+def importance_compare(spark, sf):
+    out = compare_importance(_table(spark, sf, _WEIGHTS), _table(spark, sf, _OTHER), 3)
+    return rounded(out, "mean_abs_first", "mean_abs_second", "share_first", "share_second")
+
+
+@query(
+    "linear_attribution",
+    f"""WITH {_MEANS_SQL}, a AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {w} * ({c} - m_{c}) AS v FROM lineitem, means" for c, w in _WEIGHTS.items())})
+    SELECT feature, count(*) AS n, round(min(v), 6) AS lowest, round(max(v), 6) AS highest FROM a GROUP BY feature""",
+)
+def linear_attribution(spark, sf):
+    df = telemetry(spark, sf)
+    means = fit_constants(df, list(_WEIGHTS), "mean")
+    rows = linear_attributions(df, _WEIGHTS, means)
+    out = rows.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.min("attribution").alias("lowest"), F.max("attribution").alias("highest")
+    )
+    return rounded(out, "lowest", "highest")

@@ -17,7 +17,7 @@ from fleetcast.queries.base import (
 )
 
 
-def context(spark: SparkSession, sf: str, *payload: str) -> DataFrame:
+def context(spark: SparkSession, sf: str, *payload: str, keep_chunks: bool = False) -> DataFrame:
     """Readings (only the payload a query needs) with their event context."""
     cols = ["event_id", "user_id", "us", *payload]
     return event_context(
@@ -25,6 +25,7 @@ def context(spark: SparkSession, sf: str, *payload: str) -> DataFrame:
         log_incidents(spark, sf).select("user_id", "us"),
         log_maintenance(spark, sf),
         "user_id",
+        keep_chunks=keep_chunks,
     )
 
 
