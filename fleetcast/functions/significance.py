@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _EPS = 1e-15
 
@@ -42,7 +43,7 @@ def chi2_tail(x: float, dof: float) -> float:
     return frac * scale
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(a, b) for a, b in zip(x, dof)])
 

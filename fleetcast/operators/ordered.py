@@ -10,6 +10,7 @@ earlier (or later) chunks is a small carry table with fewer rows than there are
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -221,54 +222,45 @@ def quantiles(
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, _SKETCH_ACCURACY).alias("_e")
     )
-    slots = F.array(
-        *[
-            F.struct(F.lit(i).alias("slot"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi"))
-            for i in range(len(probs))
-        ]
-    )
-    v = F.col("_v")
-    side = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)
-    placed = (
-        rows.join(sketch.select(*keys, slots.alias("_slots")), list(keys))
-        .select(*keys, "_v", F.inline("_slots"))
-        .select(*keys, "slot", "_v", side.alias("side"))
-    )
-    merged = placed.groupBy(
-        *keys, "slot", "side", F.when(F.col("side") == 0, v).alias("_inside")
-    ).agg(
-        F.count(F.lit(1)).alias("_m"),
-        # the values next to the bracket may be needed as interpolation partners
-        F.when(F.col("side") < 0, F.max("_v")).otherwise(F.min("_v")).alias("_v"),
+    v, e = F.col("_v"), F.col("_e")
+    brackets = [(e[2 * i], e[2 * i + 1]) for i in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in brackets])
+    # rows outside every bracket differ only in how many brackets lie below them
+    region = reduce(lambda a, b: a + b, [(v > hi).cast("int") for _, hi in brackets])
+    merged = (
+        rows.join(sketch.select(*keys, "_e"), list(keys))
+        .groupBy(*keys, F.when(inside, v).alias("_in"), F.when(~inside, region).alias("_region"))
+        .agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_v"), F.max("_v").alias("_last"))
     )
     ranked = ranked_histogram(
-        merged.drop("_inside"), [*keys, "slot"], "_v", {"_out": F.abs("side")}, count=F.col("_m")
+        merged, keys, "_v", {"_last": F.col("_last")}, count=F.col("_m")
     )
     got = _interpolated(ranked, keys, probs)
     if got.filter("_missed").isEmpty():
         return got.drop("_missed")
-    full = ranked_histogram(rows, keys, "_v").withColumn("_out", F.lit(0))
-    every = F.explode(F.array(*[F.lit(i) for i in range(len(probs))])).alias("slot")
-    return _interpolated(full.select("*", every), keys, probs).drop("_missed")
+    full = ranked_histogram(rows, keys, "_v").withColumn("_last", F.col("_v"))
+    return _interpolated(full, keys, probs).drop("_missed")
 
 
 def _interpolated(ranked: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles from rows (keys, slot, value, n, n_before, n_total); ``_missed`` if a rank is unknown."""
+    """Quantiles from runs of values (first ``_v``, ``_last``, count and counts before).
+
+    A run of different values is known at its two ends only; ``_missed`` marks keys with a
+    rank strictly inside such a run.
+    """
+    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    single = F.col("_v") == F.col("_last")
     aggs = [F.max("n_total").alias("n")]
     for i, p in enumerate(probs.values()):
         pos = F.lit(p) * (F.col("n_total") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
-        mine = F.col("slot") == i
-        aggs.append(F.max(F.when(mine, pos - lo)).alias(f"_f{i}"))
-        first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+        aggs.append(F.max(pos - lo).alias(f"_f{i}"))
         for tag, rank in (("lo", lo), ("hi", hi)):
-            # of the rows merged outside the bracket only the nearest value is known
-            held = (
-                F.when(F.col("_out") == 0, (first <= rank) & (rank <= last))
-                .when(F.col("n_before") == 0, rank == last)
-                .otherwise(rank == first)
+            at = (
+                F.when((rank == first) | (single & rank.between(first, last)), F.col("_v"))
+                .when(rank == last, F.col("_last"))
             )
-            aggs.append(F.max(F.when(mine & held, F.col("_v"))).alias(f"_{tag}{i}"))
+            aggs.append(F.max(at).alias(f"_{tag}{i}"))
     got = ranked.groupBy(*keys).agg(*aggs)
     out, missed = [], F.lit(False)
     for i, name in enumerate(probs):

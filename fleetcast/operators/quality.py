@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.operators.ordered import carry_over, chunk_window, join_carry, quantiles
 from fleetcast.operators.reshape import long_rows, measures_long
+from fleetcast.operators.stats import null_cells
 from fleetcast.operators.timeline import with_position
 from fleetcast.roles import (
     IQR_FACTOR,
@@ -275,6 +276,35 @@ def unit_consistency(
     return long_rows(ends, {c: facts(c) for c in cols}, "measure")
 
 
-def null_total(cols: Sequence[str]) -> Column:
-    """Number of missing values in a row."""
-    return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in cols])
+def telemetry_metrics(
+    df: DataFrame,
+    roles: Roles,
+    ts: str,
+    n_duplicates: int,
+    width: Mapping[str, float] | float = 1.0,
+) -> DataFrame:
+    """Size, period, missing cells and the outcome of the sensor checks in one row."""
+    base = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(len(df.columns)).alias("n_columns"),
+        F.count_distinct(roles.entity).alias("n_machines"),
+        null_cells(df).alias("n_null"),
+        F.lit(n_duplicates).cast("long").alias("n_duplicates_removed"),
+        F.min(ts).alias("period_start"),
+        F.max(ts).alias("period_end"),
+    )
+
+    def named(test: Column) -> Column:
+        return F.concat_ws(",", F.array_sort(F.collect_list(F.when(test, F.col("measure")))))
+
+    # one row per sensor each
+    outliers = detect_outliers(df, roles.sensors).agg(F.sum("n_outliers").alias("n_outliers"))
+    units = unit_consistency(df, roles.entity, roles.sensors).agg(
+        named(F.col("unit_suspect")).alias("unit_suspects")
+    )
+    saturated = detect_saturation(df, roles.sensors, width).agg(
+        F.sum("n_saturated").alias("n_saturated"),
+        named(F.col("saturated_low") | F.col("saturated_high")).alias("saturated_sensors"),
+    )
+    parts = [p.withColumn("_one", F.lit(1)) for p in (base, outliers, units, saturated)]
+    return reduce(lambda a, b: a.join(b, "_one"), parts).drop("_one")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.operators.ordered import average_ranks, quantiles
 from fleetcast.operators.reshape import long_rows, measures_long
-from fleetcast.roles import PII_PATTERNS, Roles
+from fleetcast.roles import PII_PATTERNS
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -285,20 +286,26 @@ def determinism(df: DataFrame, given: str, result: str) -> DataFrame:
     )
 
 
-def telemetry_metrics(df: DataFrame, roles: Roles, ts: str, n_duplicates: int) -> DataFrame:
-    """Rows, columns, machines, missing cells, duplicates removed and period."""
-    nulls = [F.count(F.when(F.col(c).isNull(), 1)) for c in df.columns]
-    total = nulls[0]
-    for n in nulls[1:]:
-        total = total + n
+def pivot_means(
+    df: DataFrame, keys: Sequence[str], by: str, values: Sequence, value: str
+) -> DataFrame:
+    """Mean of a value per key and category, one column per known category."""
+    return df.groupBy(*keys).pivot(by, list(values)).agg(F.avg(value))
+
+
+def null_cells(df: DataFrame) -> Column:
+    """Aggregate: missing cells over all columns."""
+    return reduce(lambda a, b: a + b, [F.count(F.when(F.col(c).isNull(), 1)) for c in df.columns])
+
+
+def incident_metrics(df: DataFrame, machine: str = "machine_id") -> DataFrame:
+    """Rows, columns, machines, missing cells and mean confidence of scored reports."""
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
-        F.count_distinct(roles.entity).alias("n_machines"),
-        total.alias("n_null"),
-        F.lit(n_duplicates).cast("long").alias("n_duplicates_removed"),
-        F.min(ts).alias("period_start"),
-        F.max(ts).alias("period_end"),
+        F.count_distinct(machine).alias("n_machines"),
+        null_cells(df).alias("n_null"),
+        F.round(F.avg("confidence"), 3).alias("mean_confidence"),
     )
 
 

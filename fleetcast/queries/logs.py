@@ -215,6 +215,20 @@ def null_counts(spark, sf):
     )
 
 
+@query(
+    "incident_metrics",
+    f"""WITH {ENRICH_SQL} SELECT count(*) AS n_rows, 7 AS n_columns, count(DISTINCT machine_id) AS n_machines,
+    count(*) FILTER (WHERE severity IS NULL) + count(*) FILTER (WHERE comment IS NULL)
+      + count(*) FILTER (WHERE dt IS NULL) AS n_null,
+    round(avg(confidence), 3) AS mean_confidence FROM confident""",
+)
+def incident_metrics(spark, sf):
+    made = report_confidence(enriched(spark, sf)).select(
+        "incident_id", "machine_id", "severity", "comment", "dt", "signal", "confidence"
+    )
+    return stats.incident_metrics(made)
+
+
 @query(
     "check_range_rule",
     f"""WITH {REPORTS_SQL} SELECT min(severity) AS min, max(severity) AS max,

@@ -8,7 +8,6 @@ from fleetcast.functions.time import shift_of_hour
 from fleetcast.operators import quality, stats
 from fleetcast.operators.quality import dedup_first
 from fleetcast.operators.reshape import repivot as repivot_long, sensor_measurements
-from fleetcast.plans.silver import clean_telemetry  # noqa: F401
 from fleetcast.queries.base import (
     DEDUP_SQL,
     LINE_TIES,
@@ -184,17 +183,41 @@ def corr_spearman(spark, sf):
     return rounded(stats.spearman(log_readings(spark, sf), _LOG_COLS), "r")
 
 
+_OUT_SQL = ", ".join(
+    f"""o_{c} AS (SELECT count(*) AS k FROM dedup, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM dedup)
+  WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))"""
+    for c in COLS
+)
+
+
 @query(
     "telemetry_metrics",
-    f"""WITH {DEDUP_SQL} SELECT count(*) AS n_rows, 11 AS n_columns, count(DISTINCT l_suppkey) AS n_machines,
+    f"""WITH {DEDUP_SQL}, {_OUT_SQL}, {_SAT_SQL.replace('FROM lineitem', 'FROM dedup')},
+    u AS (SELECT measure, max(m) / min(m) AS ratio FROM (SELECT l_suppkey, measure, avg(v) AS m
+      FROM {_unpivot(extra='l_suppkey, ', table='dedup')} GROUP BY ALL) GROUP BY measure),
+    s AS ({" UNION ALL ".join(f"SELECT '{c}' AS measure, sl OR sh AS hit, CASE WHEN sl THEN nl ELSE 0 END + CASE WHEN sh THEN nh ELSE 0 END AS k FROM s_{c}" for c in COLS)})
+    SELECT count(*) AS n_rows, 11 AS n_columns, count(DISTINCT l_suppkey) AS n_machines,
     CAST(0 AS BIGINT) AS n_null, (SELECT count(*) FROM lineitem) - count(*) AS n_duplicates_removed,
-    min(l_shipdate) AS period_start, max(l_shipdate) AS period_end FROM dedup""",
+    min(l_shipdate) AS period_start, max(l_shipdate) AS period_end,
+    {" + ".join(f"(SELECT k FROM o_{c})" for c in COLS)} AS n_outliers,
+    (SELECT coalesce(string_agg(measure, ',' ORDER BY measure), '') FROM u WHERE ratio > 1.5) AS unit_suspects,
+    (SELECT CAST(sum(k) AS BIGINT) FROM s) AS n_saturated,
+    (SELECT coalesce(string_agg(measure, ',' ORDER BY measure), '') FROM s WHERE hit) AS saturated_sensors
+    FROM dedup""",
 )
 def telemetry_metrics(spark, sf):
     raw = telemetry(spark, sf)
     kept = stage(dedup_first(raw, ["l_suppkey", "l_shipdate"], LINE_TIES))
-    removed = raw.count() - kept.count()
-    return stats.telemetry_metrics(kept, WIDE, "l_shipdate", removed)
+    return quality.telemetry_metrics(kept, WIDE, "l_shipdate", raw.count() - kept.count(), WIDTHS)
+
+
+@query(
+    "pivot_means",
+    "SELECT l_returnflag, avg(l_quantity) FILTER (WHERE l_linestatus = 'O') AS O, "
+    "avg(l_quantity) FILTER (WHERE l_linestatus = 'F') AS F FROM lineitem GROUP BY 1",
+)
+def pivot_means(spark, sf):
+    return stats.pivot_means(telemetry(spark, sf), ["l_returnflag"], "l_linestatus", ["O", "F"], "l_quantity")
 
 
 @query(
