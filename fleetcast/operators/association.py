@@ -17,7 +17,9 @@ def chi2_cramer(df: DataFrame, a: str, b: str, *, yates: bool = True) -> DataFra
     Works on the non-empty cells: an empty cell adds exactly its expected count, so the full
     grid of categories is never built. The continuity correction applies to 2 x 2 tables only.
     """
-    cells = stage(contingency(df, a, b))
+    pairs = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    a, b = "_a", "_b"
+    cells = stage(contingency(pairs, a, b))
     rows = cells.groupBy(a).agg(F.sum("n").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("n").alias("c"))
     size = rows.agg(F.count(F.lit(1)).alias("n_r"), F.sum("r").alias("n")).first()
@@ -76,6 +78,8 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
     Rows without a group or value are left out.
     """
+    df = df.select(F.col(group).alias("_group"), F.col(value).alias("_value"))
+    group, value = "_group", "_value"
     cells = stage(
         df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
         .groupBy(group, value)
