@@ -11,7 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fleetcast.functions.trailing import Stat, trailing_stats
 from fleetcast.operators.ordered import (
     CHUNK,
     HALO,
@@ -46,90 +48,114 @@ def _keys(roles: Roles) -> list[str]:
     return [roles.entity, roles.segment]
 
 
-def trailing(roles: Roles, hours: int):
-    """Window (t - hours, t] of a segment."""
-    return chunk_window(_keys(roles), roles.us).rangeBetween(-hours * HOUR_US + 1, 0)
-
-
 def segment_start(roles: Roles) -> Column:
     """First instant of the segment."""
     here = F.min(roles.us).over(Window.partitionBy(*_keys(roles), CHUNK))
     return F.least(here, F.col("_c_start"))
 
 
-def rolling_columns(roles: Roles, stats: Sequence[str] = STATS) -> dict[str, Column]:
-    """Mean, std, min, max and least-squares slope (units per hour) per sensor and window."""
-    x = (F.col(roles.us) - F.min(roles.us).over(Window.partitionBy(*_keys(roles), CHUNK))) / HOUR_US
-    out: dict[str, Column] = {}
-    for h in roles.windows_h:
-        frame = trailing(roles, h)
-        for s in roles.sensors:
-            y = F.col(s)
-            made = {
-                "mean": lambda: F.avg(y).over(frame),
-                "std": lambda: F.stddev_samp(y).over(frame),
-                "min": lambda: F.min(y).over(frame),
-                "max": lambda: F.max(y).over(frame),
-                # undefined with one instant: 0; unknown without any value: NULL
-                "slope": lambda: F.coalesce(
-                    F.regr_slope(y, F.col("_x")).over(frame),
-                    F.when(F.count(y).over(frame) > 0, F.lit(0.0)),
-                ),
-            }
-            for stat in stats:
-                out[f"{s}_{stat}_{h}h"] = made[stat]()
-    return {"_x": x, **out} if "slope" in stats else out
-
-
-def quality_columns(roles: Roles) -> dict[str, Column]:
-    """Imputed, outlier and saturated marks of all sensors summed over each window."""
-    out = {}
-    for name, suffix in (
-        ("imputed", "was_imputed"),
-        ("outlier", "is_outlier"),
-        ("saturated", "is_saturated"),
-    ):
-        total = reduce(
+def rolling_stats(roles: Roles, stats: Sequence[str] = STATS) -> list[Stat]:
+    """Mean, std, min, max and least-squares slope (units per hour) per sensor and window.
+
+    Windows are (t - w, t]. The slope is 0 with one instant and missing without any value.
+    """
+    return [
+        Stat(f"{s}_{stat}_{h}h", s, stat, h)
+        for h in roles.windows_h
+        for s in roles.sensors
+        for stat in stats
+    ]
+
+
+_MARKS = (("imputed", "was_imputed"), ("outlier", "is_outlier"), ("saturated", "is_saturated"))
+
+
+def mark_columns(roles: Roles) -> dict[str, Column]:
+    """Imputed, outlier and saturated marks of a reading, summed over its sensors."""
+    return {
+        f"_n_{name}": reduce(
             lambda a, b: a + b,
-            [F.coalesce(F.col(f"{s}_{suffix}").cast("long"), F.lit(0)) for s in roles.sensors],
+            [F.coalesce(F.col(f"{s}_{mark}").cast("long"), F.lit(0)) for s in roles.sensors],
         )
-        for h in roles.windows_h:
-            out[f"n_{name}_{h}h"] = F.sum(total).over(trailing(roles, h))
-    return out
+        for name, mark in _MARKS
+    }
+
+
+def quality_stats(roles: Roles) -> list[Stat]:
+    """Marks summed over each window."""
+    return [
+        Stat(f"n_{name}_{h}h", f"_n_{name}", "sum", h) for name, _ in _MARKS for h in roles.windows_h
+    ]
 
 
-def production_columns(roles: Roles, capacity: str | None = None) -> dict[str, Column]:
-    """Daily production sum and mean, production since the segment start, utilisation."""
+def production_stats(roles: Roles) -> list[Stat]:
+    """Production sum and mean of the last 24 h."""
+    return [
+        Stat("prod_sum_24h", roles.production, "sum", 24),
+        Stat("prod_mean_24h", roles.production, "mean", 24),
+    ]
+
+
+def production_total(roles: Roles) -> Column:
+    """Production since the segment start; missing where the reading has none."""
     made = F.col(roles.production)
-    day = trailing(roles, 24)
     upto = chunk_window(_keys(roles), roles.us).rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(~F.col(HALO), made)
     total = F.coalesce(F.col("_c_prod"), F.lit(0)) + F.sum(own).over(upto)
-    out = {
-        "prod_sum_24h": F.sum(made).over(day),
-        "prod_mean_24h": F.avg(made).over(day),
-        "prod_cumul_segment": F.when(made.isNotNull(), total),
-    }
-    if capacity:
-        out["utilisation"] = F.try_divide(made.cast("double"), F.col(capacity))
-    return out
+    return F.when(made.isNotNull(), total)
+
+
+def apply_windows(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Evaluate window expressions on a segment frame and drop the halo copies."""
+    kept = [c for c in frame.columns if not c.startswith("_")]
+    made = frame.select(*kept, HALO, *[c.alias(n) for n, c in columns.items()])
+    return made.filter(~F.col(HALO)).drop(HALO)
+
 
+def apply_trailing(
+    frame: DataFrame,
+    roles: Roles,
+    stats: Sequence[Stat],
+    columns: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Add trailing-window statistics (and window expressions) to a segment frame.
 
-def apply_features(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Evaluate window features on a segment frame and drop the halo copies."""
-    base = frame
-    if "_x" in columns:
-        base = frame.withColumn("_x", columns["_x"])
-    wanted = {n: c for n, c in columns.items() if n != "_x"}
+    Rows move once, by (segment, chunk), and are sorted once: the expression windows ask for
+    that order and the Arrow kernel runs on what they leave.
+    """
     kept = [c for c in frame.columns if not c.startswith("_")]
-    return base.select(*kept, HALO, *[c.alias(n) for n, c in wanted.items()]).filter(
-        ~F.col(HALO)
-    ).drop(HALO)
+    extra = dict(columns or {})
+    helpers = mark_columns(roles) if any(s.column.startswith("_n_") for s in stats) else {}
+    order = chunk_window(_keys(roles), roles.us)
+    inputs = sorted({s.column for s in stats} - set(kept) - set(helpers))
+    if inputs:
+        raise ValueError(f"missing columns {inputs}")
+    ready = frame.withColumns(helpers).select(
+        *kept,
+        *helpers,
+        *[c.alias(n) for n, c in extra.items()],
+        HALO,
+        CHUNK,
+        (F.row_number().over(order) == 1).alias("_start"),
+    ).sortWithinPartitions(*_keys(roles), CHUNK, roles.us)
+    keep = [*kept, *extra]
+    counts = {s.name for s in stats if s.stat == "sum"}
+    schema = T.StructType(
+        [
+            *[ready.schema[c] for c in keep],
+            *[
+                T.StructField(s.name, T.LongType() if s.name in counts else T.DoubleType())
+                for s in stats
+            ],
+        ]
+    )
+    kernel = trailing_stats(list(stats), roles.us, "_start", HALO, keep, counts)
+    return ready.mapInArrow(kernel, schema)
 
 
 def hours_in_segment(frame: DataFrame, roles: Roles) -> DataFrame:
     """Hours since the first operational reading of the segment."""
-    return apply_features(
+    return apply_windows(
         frame, {"hours_in_segment": (F.col(roles.us) - segment_start(roles)) / HOUR_US}
     )
 
@@ -142,7 +168,7 @@ def lag_features(
     placed = with_position(chunked, keys, "place")
     frame = with_halo(placed, keys, "place", max(lags) + 1)
     w = chunk_window(keys, "place")
-    return apply_features(
+    return apply_windows(
         frame,
         {f"{s}_lag_{k}": F.lag(s, k).over(w) for s in roles.sensors for k in lags},
     ).drop("place")

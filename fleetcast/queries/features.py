@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from fleetcast.functions.time import cyclic
 from fleetcast.operators.quality import dedup_first, flag_outliers, flag_saturation, interpolate
 from fleetcast.operators.rolling import (
-    apply_features,
+    apply_trailing,
     hours_in_segment as add_hours_in_segment,
     lag_features,
-    production_columns,
-    quality_columns,
-    rolling_columns,
+    production_stats,
+    production_total,
+    quality_stats,
+    rolling_stats as stats_of,
     segment_frame,
 )
 from fleetcast.operators.splits import (
@@ -128,7 +129,7 @@ SLOPE_COLS = [f"{s}_slope_{h}h" for h in HOURS for s in SENSORS]
 )
 def rolling_stats(spark, sf):
     frame = segment_frame(operational(spark, sf, "s1", "s2"), LOG)
-    out = apply_features(frame, rolling_columns(LOG, BASIC))
+    out = apply_trailing(frame, LOG, stats_of(LOG, BASIC))
     return rounded(out.select("event_id", *BASIC_COLS), *BASIC_COLS)
 
 
@@ -140,7 +141,7 @@ def rolling_stats(spark, sf):
 )
 def rolling_slope(spark, sf):
     frame = segment_frame(operational(spark, sf, "s1", "s2"), LOG)
-    out = apply_features(frame, rolling_columns(LOG, ("slope",)))
+    out = apply_trailing(frame, LOG, stats_of(LOG, ("slope",)))
     return rounded(out.select("event_id", *SLOPE_COLS), *SLOPE_COLS, digits=3)
 
 
@@ -158,7 +159,9 @@ def rolling_slope(spark, sf):
 )
 def production(spark, sf):
     frame = segment_frame(operational(spark, sf, "pieces"), LOG)
-    out = apply_features(frame, production_columns(LOG))
+    out = apply_trailing(
+        frame, LOG, production_stats(LOG), {"prod_cumul_segment": production_total(LOG)}
+    )
     out = out.join(assets(spark, sf), "user_id", "left").withColumn(
         "utilisation",
         F.try_divide(F.col("pieces").cast("double"), F.col("max_hourly_capacity_pieces")),
@@ -326,7 +329,7 @@ def quality_sql() -> str:
 def quality_counts(spark, sf):
     ops = clean_log(spark, sf).filter("NOT during_maintenance")
     frame = segment_frame(ops, LOG)
-    return apply_features(frame, quality_columns(LOG)).select("event_id", *_QUALITY)
+    return apply_trailing(frame, LOG, quality_stats(LOG)).select("event_id", *_QUALITY)
 
 
 # --- static and cyclic -------------------------------------------------------------------

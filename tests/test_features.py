@@ -12,11 +12,12 @@ from fleetcast.operators import splits
 from fleetcast.operators.ordered import quantiles
 from fleetcast.operators.quality import interpolate
 from fleetcast.operators.rolling import (
-    apply_features,
+    apply_trailing,
     hours_in_segment,
     lag_features,
-    production_columns,
-    rolling_columns,
+    production_stats,
+    production_total,
+    rolling_stats,
     segment_frame,
 )
 from fleetcast.operators.timeline import context_chunks
@@ -27,6 +28,15 @@ ROLES = Roles(entity="machine_pk")
 SENSORS = tuple(SENSOR_UNITS)
 
 
+def features(frame, roles, stats):
+    return apply_trailing(
+        frame,
+        roles,
+        [*stats, *production_stats(roles)],
+        {"prod_cumul_segment": production_total(roles)},
+    )
+
+
 def two_segments(spark):
     temps = [10.0, 20.0, 30.0, 100.0, 110.0, 120.0]
     rows = [
@@ -43,7 +53,7 @@ def two_segments(spark):
 
 def test_rolling_stays_in_the_segment_and_in_the_past(spark, chunks):
     frame_ = segment_frame(context_chunks(two_segments(spark), ROLES), ROLES)
-    rows = by(apply_features(frame_, {**rolling_columns(ROLES), **production_columns(ROLES)}), "us")
+    rows = by(features(frame_, ROLES, rolling_stats(ROLES)), "us")
     assert rows[3]["temperature_c_mean_48h"] == 100.0
     assert rows[5]["temperature_c_mean_48h"] == 110.0
     assert rows[0]["temperature_c_mean_6h"] == 10.0
@@ -62,7 +72,7 @@ def test_window_excludes_a_reading_exactly_one_window_old(spark, chunks):
         f"{s} double" for s in SENSORS
     ) + ", pieces_produced int"
     made = segment_frame(context_chunks(frame(spark, rows, schema), ROLES), ROLES)
-    out = by(apply_features(made, rolling_columns(ROLES, ("mean",))), "us")
+    out = by(apply_trailing(made, ROLES, rolling_stats(ROLES, ("mean",))), "us")
     assert [r["temperature_c_mean_6h"] for r in out] == [5.0, 7.0, 8.0]
 
 
@@ -129,9 +139,7 @@ def test_rolling_against_brute_force_over_chunk_limits(spark, parts):
     made = segment_frame(context_chunks(df, ONE, parts), ONE)
     got = {
         (r["machine_pk"], r["us"]): r
-        for r in apply_features(
-            made, {**rolling_columns(ONE, ("mean", "max")), **production_columns(ONE)}
-        ).collect()
+        for r in features(made, ONE, rolling_stats(ONE)).collect()
     }
     assert len(got) == len(rows)
     for m, us, seg, _, _, _ in rows:
