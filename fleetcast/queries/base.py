@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcast.functions.time import micros
-from fleetcast.roles import DAY_US, HOUR_US, Roles
+from fleetcast.roles import Roles
 from fleetcast.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,11 +320,3 @@ intervention AS (
     CAST(l_quantity / 4 AS DECIMAL(6,2)) AS duration_hours
   FROM lineitem)
 """
-
-__all__ = [
-    "DAY_US",
-    "HOUR_US",
-    "query",
-    "registered",
-    "oracles",
-]

@@ -291,8 +291,6 @@ def check_shift(spark, sf):
 @query(
     "determinism_check",
     f"""WITH {REPORTS_SQL},
-    s AS (SELECT comment, count(DISTINCT status) AS k, count(*) AS n FROM (SELECT *, CASE
-      WHEN type_heat = 1 THEN 'heat' ELSE 'other' END AS sig FROM reports) GROUP BY comment),
     t AS (SELECT comment, count(DISTINCT type_noise) AS k, count(*) AS n FROM reports GROUP BY comment)
     SELECT count(*) FILTER (WHERE comment IS NOT NULL) AS n_distinct,
       CAST(coalesce(sum(n) FILTER (WHERE comment IS NULL), 0) AS BIGINT) AS n_null,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fleetcast.operators.timeline import add_history, add_labels, event_context
 from fleetcast.queries.base import (
