@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from fleetcast.session import scratch_dir
 
 #: a side is broadcast only if its counted rows times its row width stay below this
 BROADCAST_BYTES = 32 << 20
@@ -42,3 +45,8 @@ def input_columns(df: DataFrame, **roles: str) -> DataFrame:
 def fold_ascii(c: Column) -> Column:
     """A-Z to a-z, everything else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"

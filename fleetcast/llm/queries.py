@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetcast.llm import decontaminate, secrets, url_cascade
+from fleetcast.llm import decontaminate, edit_counts, packing, secrets, token_files, toxicity, url_cascade, warc
+from fleetcast.llm.frames import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,15 +22,68 @@ URL_RULES = (
 )
 
 
+BYTE_BPE = "byte_bpe_50k.json"
+END_ID = 2
+TOXIC_FROM = 0.7
+
+#: personal data that the edit query redacts: mail addresses and long numbers
+PERSONAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9][0-9 ()-]{6,}[0-9]"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.word_count(F.col("text")))
+
+
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after all mail addresses and long numbers are redacted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path(BYTE_BPE)
+    states = edit_counts.state_table(docs, vocabulary)
+    edited = docs.withColumn("edits", edit_counts.redactions(F.col("text"), PERSONAL, "<redacted>"))
+    return edit_counts.recount_edited(edited, states, vocabulary)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        F.size("toxicity.passages").cast("long").alias("n_passages"),
+    )
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_folder(spark, "tokens")
+    token_files.write_token_files(docs, path, public_tokenizers.path(BYTE_BPE), end_id=END_ID)
+    return token_files.read_token_index(spark, path)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_cascade.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are a minute apart in the order of page_id; the table has no times of its own."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = new_folder(spark, "warc")
+    minute = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(F.col("page_id"), F.lit(0)) * 60)
+    warc.write_archives(pages, path, captured_at=minute)
+    return warc.merge_index(warc.read_index(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position"
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.secrets_summary(secrets.find_secrets(docs))
@@ -40,7 +96,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_length_buckets": op2_length_buckets,
+    "op3_edit_counts": op3_edit_counts,
+    "op4_toxicity": op4_toxicity,
+    "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
+    "op8_warc_index": op8_warc_index,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
 }
