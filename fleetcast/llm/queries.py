@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcast.llm import decontaminate, edit_counts, packing, secrets, token_files, toxicity, url_cascade, warc
+from fleetcast.llm import decontaminate, edit_counts, ngram_join, packing, secrets, token_files, toxicity, url_cascade, warc
 from fleetcast.llm.frames import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, packing.word_count(F.col("text")))
@@ -96,6 +100,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_length_buckets": op2_length_buckets,
     "op3_edit_counts": op3_edit_counts,
     "op4_toxicity": op4_toxicity,
