@@ -461,3 +461,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     whole = classes.join(ids, "class", "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, that with the smallest id.
+
+    Rows of one id are one document: that with the smallest hash of the text stays. Rows without an id stay.
+    """
+    told = stage(near_duplicates(docs, doc_id=doc_id, text=text, k=k, similarity=similarity))
+    gone = stage(told.filter("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    twice = stage(told.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id))
+    kept = measured_join(docs, gone, doc_id, "left_anti")
+    if twice.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = measured_join(kept, twice, doc_id, "left_semi").select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h"), row.alias("_row"))
+    one = again.groupBy("_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
+    return measured_join(kept, twice, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcast.llm import decontaminate, edit_counts, ngram_join, packing, secrets, token_files, toxicity, url_cascade, warc
+from fleetcast.llm import decontaminate, edit_counts, ngram_join, packing, pq_dedup, secrets, token_files, toxicity, url_cascade, warc
 from fleetcast.llm.frames import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_folder(spark, "tokens")
@@ -104,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op2_length_buckets": op2_length_buckets,
     "op3_edit_counts": op3_edit_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
     "op8_warc_index": op8_warc_index,
