@@ -37,9 +37,11 @@ from fleetcast.session import stage
 TRAINING_ROWS = 200_000
 
 BEGINNING = 4  # bytes
-PRIOR_BEGINNING = 500.0  # pseudo-words of the class prior
+PRIOR_FLAT = 0.5  # pseudo-words of every beginning
+PRIOR_BEGINNING = 500.0  # pseudo-words dealt out by the rates in both classes
 PRIOR_WORD = 5.0  # pseudo-words inside a beginning
-SIGNIFICANT = 4.0  # standard errors above zero
+SIGNIFICANT = 3.0  # standard errors above zero
+LEAST_GAIN = 1.0  # log-odds below it count as none
 COST = 0.1  # of a word without significant log-odds
 RIDGE = 0.01
 
@@ -56,7 +58,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """Per word: its code, the code of its beginning, and occurrences in toxic and in clean rows.
+    """Per word: its code, the code of its beginning, and how many toxic and clean rows have it.
 
     ``rows`` has text and toxic. Tasks add up their own rows before anything is shuffled.
     """
@@ -65,7 +67,12 @@ def count_words(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 word, begin, first = _words(part.column("text"))
-                toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
+                row = np.repeat(np.arange(part.num_rows), np.diff(first))
+                order = np.lexsort((word, row))
+                row, word, begin = row[order], word[order], begin[order]
+                once = np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])]) if len(row) else np.zeros(0, bool)
+                row, word, begin = row[once], word[once], begin[once]
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                 code, where, which = np.unique(word, return_index=True, return_inverse=True)
                 bad = np.bincount(which, weights=toxic, minlength=len(code)).astype(np.int64)
                 yield pa.record_batch(
@@ -88,9 +95,11 @@ def log_odds(counts: DataFrame) -> DataFrame:
     far smaller than the training sample.
     """
     total = F.broadcast(counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0")))
-    begins = counts.groupBy("beginning").agg(F.sum("toxic").alias("b1"), F.sum("clean").alias("b0")).crossJoin(total)
-    q = (F.col("b1") + F.col("b0")) / (F.col("n1") + F.col("n0")) * PRIOR_BEGINNING
-    rate = lambda y, n: (F.col(y) + q) / (F.col(n) + PRIOR_BEGINNING)
+    begins = counts.groupBy("beginning").agg(F.sum("toxic").alias("b1"), F.sum("clean").alias("b0"))
+    kinds = F.broadcast(begins.agg((PRIOR_BEGINNING + PRIOR_FLAT * F.count(F.lit(1))).alias("prior")))
+    begins = begins.crossJoin(total).crossJoin(kinds)  # one row each
+    q = PRIOR_FLAT + (F.col("b1") + F.col("b0")) / (F.col("n1") + F.col("n0")) * PRIOR_BEGINNING
+    rate = lambda y, n: (F.col(y) + q) / (F.col(n) + F.col("prior"))
     begins = begins.withColumns(
         {"bg": F.log(rate("b1", "n1") / rate("b0", "n0")), "bv": 1 / (F.col("b1") + q) + 1 / (F.col("b0") + q)}
     )
@@ -107,10 +116,12 @@ def log_odds(counts: DataFrame) -> DataFrame:
     by_begin = begins.select(
         F.col("beginning").alias("code"), F.lit("beginning").alias("kind"), F.col("bg").alias("g"), F.col("bv").alias("v"), (F.col("b0") / F.col("n0")).alias("share")
     )
-    # a word that is known but not significant must not take the gain of its beginning
-    sure = F.col("g") >= SIGNIFICANT * F.sqrt("v")
-    weak = by_word.join(by_begin.filter(sure).select(F.col("code").alias("beginning")).join(counts.select("word", "beginning"), "beginning").select(F.col("word").alias("code")), "code", "left_semi")
-    kept = by_begin.filter(sure).unionByName(by_word.filter(sure)).unionByName(weak.filter(~sure & (F.col("g") < F.col("v"))).withColumn("g", F.lit(0.0)))
+    sure = (F.col("g") >= SIGNIFICANT * F.sqrt("v")) & (F.col("g") >= LEAST_GAIN)
+    # a word that speaks against its beginning must not take the beginning's gain
+    told = by_begin.filter(sure).select(F.col("code").alias("beginning"))
+    against = counts.join(told, "beginning", "left_semi").select(F.col("word").alias("code"))
+    against = by_word.filter(F.col("g") < LEAST_GAIN).join(against, "code", "left_semi").withColumn("g", F.lit(0.0))
+    kept = by_begin.filter(sure).unionByName(by_word.filter(sure)).unionByName(against)
     return kept.select("code", "kind", F.col("g").alias("gain"), "share").dropDuplicates(["code", "kind"])
 
 
