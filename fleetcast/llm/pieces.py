@@ -7,6 +7,7 @@ once and gathers the ids of the others. Pieces are told apart by 64-bit codes of
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,7 @@ from fleetcast.llm.words import span_codes, text_bytes
 
 #: distinct pieces that a worker remembers before it starts over
 REMEMBERED = 1 << 20
+_AT_ONCE = 1 << 12
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -35,6 +37,7 @@ class PieceEncoder:
     """Encodes with remembered pieces; one per worker (``encoder``)."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # marker strings in a text are ordinary text
         self.remembered = remembered
@@ -42,24 +45,37 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.codes = np.zeros(0, np.uint64)  # ascending
+        self.slots = np.zeros(0, np.int64)
         self.start = np.zeros(1 << 12, np.int64)  # one more than slots: ids of slot s are start[s]:start[s + 1]
         self.ids = np.zeros(1 << 14, self.type)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, codes: list[int], texts: list[str]) -> None:
-        new = self.direct(texts)
-        used = len(self.slot)
-        while used + len(new) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        ends = self.start[used] + np.cumsum([len(x) for x in new])
-        while ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.start[used] : ends[-1]] = np.concatenate([np.array(x, self.type) for x in new])
-        self.start[used + 1 : used + len(new) + 1] = ends
-        self.slot.update(zip(codes, range(used, used + len(new)), strict=True))
+        return [e.ids for k in range(0, len(texts), _AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[k : k + _AT_ONCE], add_special_tokens=False)]
+
+    def _learn(self, codes: np.ndarray, texts: list[str]) -> None:
+        """Remember new pieces; ``codes`` are ascending."""
+        used = len(self.slots)
+        for k in range(0, len(texts), _AT_ONCE):
+            new = self.direct(texts[k : k + _AT_ONCE])
+            at = used + k
+            while at + len(new) + 1 > len(self.start):
+                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            ends = self.start[at] + np.cumsum([len(x) for x in new])
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.start[at] : ends[-1]] = np.fromiter((i for x in new for i in x), self.type, int(ends[-1] - self.start[at]))
+            self.start[at + 1 : at + len(new) + 1] = ends
+        where = np.searchsorted(self.codes, codes)
+        self.codes = np.insert(self.codes, where, codes)
+        self.slots = np.insert(self.slots, where, np.arange(used, used + len(codes)))
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        """Slots of the codes, -1 for those not known."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.slots[at], -1)
 
     def pieces(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start byte of each piece of the rows, and the slot of its ids."""
@@ -69,13 +85,12 @@ class PieceEncoder:
             return start, np.zeros(0, np.int64)
         end = np.append(start[1:], len(raw))
         code, where, which = np.unique(span_codes(raw, start, end, fold=False), return_index=True, return_inverse=True)
-        if len(self.slot) > self.remembered:
+        if len(self.slots) > self.remembered:
             self._forget()
-        codes = code.tolist()
-        new = [i for i, c in enumerate(codes) if c not in self.slot]
-        if new:
-            self._learn([codes[i] for i in new], [raw[start[k] : end[k]].tobytes().decode() for k in where[new]])
-        slot = np.fromiter((self.slot[c] for c in codes), np.int64, len(codes))
+        new = np.flatnonzero(self._slots(code) < 0)
+        if len(new):
+            self._learn(code[new], [raw[start[k] : end[k]].tobytes().decode() for k in where[new].tolist()])
+        slot = self._slots(code)
         return start, slot[which]
 
     def counts(self, slot: np.ndarray) -> np.ndarray:
