@@ -39,8 +39,8 @@ def chi2_tail(x: float, dof: float) -> float:
         step = d * c
         frac *= step
         if abs(step - 1) < _EPS:
-            break
-    return frac * scale
+            return frac * scale
+    raise ArithmeticError(f"tail of chi-square {x} with {dof} degrees of freedom did not converge")
 
 
 @F.pandas_udf(DoubleType())

@@ -116,28 +116,40 @@ def chunk_window(keys: Sequence[str], *order: str | Column) -> WindowSpec:
 
 
 def with_halo(chunked: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
-    """Copy into every chunk the rows of a key that lie less than ``width`` before its start.
+    """Put the rows of a key into lanes, each with the rows less than ``width`` before its start.
 
-    Copies are marked in ``_halo``; trailing windows no longer than ``width`` are then
-    complete inside ``(keys, chunk)``. The table of chunk starts holds only keys that
+    A lane is the chunks of a key that begin in the same stretch of ``width``; it takes the number
+    of its first chunk. Trailing windows no longer than ``width`` are complete inside
+    ``(keys, chunk)`` then. A row is copied into the two lanes after its own at most, however many
+    chunks there are; copies are marked in ``_halo``. The table of lanes holds only keys that
     cross a chunk limit, hence fewer rows than there are chunks.
     """
     spans = chunked.groupBy(*keys, CHUNK).agg(F.min(order).alias("_first"))
-    by_start = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_first")
-    near = spans.withColumn(
-        "_near",
-        F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), F.col("_first").alias("first"))).over(
-            by_start.rangeBetween(0, width - 1)
-        ),
-    )
-    targets = near.select(
-        *keys, CHUNK, F.lead("_near").over(by_start).alias("_near")
-    ).filter("_near is not null")
+    of_key = Window.partitionBy(*(keys or [F.lit(0)]))
+    stretch = Window.partitionBy(*keys, F.floor(F.col("_first") / F.lit(width)))
+    spans = spans.withColumns(
+        {
+            "_chunks": F.count(F.lit(1)).over(of_key),
+            "_lane": F.min(CHUNK).over(stretch),
+            "_start": F.min("_first").over(stretch),
+        }
+    ).filter("_chunks > 1")
+    by_start = of_key.orderBy("_start")
+    lanes = spans.select(*keys, "_lane", "_start").distinct()
+    later = [F.struct(F.lead("_lane", k).over(by_start).alias("chunk"), F.lead("_start", k).over(by_start).alias("first")) for k in (1, 2)]
+    lanes = lanes.withColumn("_near", F.filter(F.array(*later), lambda b: b["chunk"].isNotNull())).drop("_start")
+    targets = spans.select(*keys, CHUNK, "_lane")
+    for k in keys:
+        lanes = lanes.withColumnRenamed(k, f"_l_{k}")
+    same = F.col("_lane") == F.col("_l_lane")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_l_{k}"))
+    targets = targets.join(lanes.withColumnRenamed("_lane", "_l_lane"), same).select(*keys, CHUNK, "_lane", "_near")
     reach = F.filter(
         F.coalesce("_near", F.array().cast("array<struct<chunk:int,first:bigint>>")),
         lambda b: F.col(order) > b["first"] - F.lit(width),
     )
-    home = F.array(F.struct(F.col(CHUNK).alias("chunk"), F.lit(False).alias("halo")))
+    home = F.array(F.struct(F.coalesce("_lane", CHUNK).alias("chunk"), F.lit(False).alias("halo")))
     copies = F.transform(
         reach, lambda b: F.struct(b["chunk"].alias("chunk"), F.lit(True).alias("halo"))
     )

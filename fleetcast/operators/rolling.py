@@ -139,17 +139,17 @@ def apply_trailing(
         (F.row_number().over(order) == 1).alias("_start"),
     ).sortWithinPartitions(*_keys(roles), CHUNK, roles.us)
     keep = [*kept, *extra]
-    counts = {s.name for s in stats if s.stat == "sum"}
+    whole = {f.name for f in ready.schema if isinstance(f.dataType, T.IntegralType)}
     schema = T.StructType(
         [
             *[ready.schema[c] for c in keep],
             *[
-                T.StructField(s.name, T.LongType() if s.name in counts else T.DoubleType())
+                T.StructField(s.name, T.LongType() if s.stat == "sum" and s.column in whole else T.DoubleType())
                 for s in stats
             ],
         ]
     )
-    kernel = trailing_stats(list(stats), roles.us, "_start", HALO, keep, counts)
+    kernel = trailing_stats(list(stats), roles.us, "_start", HALO, keep, whole)
     return ready.mapInArrow(kernel, schema)
 
 

@@ -92,7 +92,9 @@ def qa_constraints(spark, sf):
 def qa_reconcile(spark, sf):
     line, orders = telemetry(spark, sf), read_table(spark, sf, "orders")
     loaded = dedup_first(line, ["l_suppkey", "l_shipdate"], LINE_TIES)
-    return reconcile({"lineitem": line, "orders": orders}, {"lineitem": loaded, "orders": orders})
+    path = new_path(scratch_dir(spark), "reload")
+    overwrite(orders, path)
+    return reconcile({"lineitem": line, "orders": orders}, {"lineitem": loaded, "orders": spark.read.parquet(path)})
 
 
 # --- sinks -----------------------------------------------------------------------------------

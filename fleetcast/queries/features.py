@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from fleetcast.functions.time import cyclic
@@ -134,12 +136,12 @@ def rolling_stats(spark, sf):
     "rolling_slope",
     f"WITH {OPS_SQL}, f AS (SELECT event_id, "
     + ", ".join(stat_sql(s, "slope", h) for h in HOURS for s in SENSORS)
-    + f" FROM ops {windows_sql()}) SELECT event_id, {rounded_sql(SLOPE_COLS, 3)} FROM f",
+    + f" FROM ops {windows_sql()}) SELECT event_id, {rounded_sql(SLOPE_COLS)} FROM f",
 )
 def rolling_slope(spark, sf):
     frame = segment_frame(operational(spark, sf, "s1", "s2"), LOG)
     out = apply_trailing(frame, LOG, stats_of(LOG, ("slope",)))
-    return rounded(out.select("event_id", *SLOPE_COLS), *SLOPE_COLS, digits=3)
+    return rounded(out.select("event_id", *SLOPE_COLS), *SLOPE_COLS)
 
 
 @query(
@@ -167,6 +169,23 @@ def production(spark, sf):
     return rounded(out, "prod_mean_24h", "utilisation")
 
 
+@query(
+    "production_fraction",
+    f"""WITH {OPS_SQL}, f AS (
+    SELECT event_id, s1, sum(s1) OVER w24 AS a, avg(s1) OVER w24 AS b,
+      sum(s1) OVER (PARTITION BY user_id, segment ORDER BY us ROWS UNBOUNDED PRECEDING) AS c FROM ops {windows_sql()})
+    SELECT event_id, round(a, 6) AS prod_sum_24h, round(b, 6) AS prod_mean_24h,
+      round(CASE WHEN s1 IS NOT NULL THEN c END, 6) AS prod_cumul_segment FROM f""",
+)
+def production_fraction(spark, sf):
+    """Production measured in fractions: a sensor stands for it."""
+    roles = replace(LOG, production="s1")
+    frame = segment_frame(operational(spark, sf, "s1"), roles)
+    out = apply_trailing(frame, roles, production_stats(roles), {"prod_cumul_segment": production_total(roles)})
+    cols = ["prod_sum_24h", "prod_mean_24h", "prod_cumul_segment"]
+    return rounded(out.select("event_id", *cols), *cols)
+
+
 @query(
     "hours_in_segment",
     f"WITH {OPS_SQL} SELECT event_id, round(x, 6) AS hours_in_segment FROM ops",
@@ -457,11 +476,11 @@ _MATRIX_PLAIN = ["event_id", "user_id", "ts", "pieces", *_QUALITY, "prod_sum_24h
 @query(
     "gold_matrix",
     f"WITH {MATRIX_SQL} SELECT {', '.join(_MATRIX_PLAIN)}, {rounded_sql(_MATRIX_ROUND)}, "
-    f"{rounded_sql(_MATRIX_SLOPES, 3)} FROM matrix",
+    f"{rounded_sql(_MATRIX_SLOPES)} FROM matrix",
 )
 def gold_matrix(spark, sf):
     out = matrix(spark, sf).select(*_MATRIX_PLAIN, *_MATRIX_ROUND, *_MATRIX_SLOPES)
-    return rounded(rounded(out, *_MATRIX_ROUND), *_MATRIX_SLOPES, digits=3)
+    return rounded(out, *_MATRIX_ROUND, *_MATRIX_SLOPES)
 
 
 @query(

@@ -10,7 +10,7 @@ from fleetcast.operators.contract import load_contract, save_contract, schema_dr
 from fleetcast.operators.explain import compare_importance, importance_table as importance, linear_attributions
 from fleetcast.operators.quality import fit_constants
 from fleetcast.operators.stats import profile as profile_table
-from fleetcast.queries.base import query, reports, rounded, telemetry
+from fleetcast.queries.base import REPORTS_SQL, query, reports, rounded, telemetry
 from fleetcast.session import scratch_dir
 from fleetcast.sources.sinks import new_path
 from fleetcast.sources.tables import read_table
@@ -35,26 +35,39 @@ def _changed(events):
     return events.drop("props").withColumn("site", F.lit("x")).withColumn("value", F.col("value").cast("float"))
 
 
+def _columns_sql(select: str) -> str:
+    """(column, type) of a query from the catalog, in Spark's type names."""
+    return f"""(SELECT column_name AS c, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+      WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date'
+      ELSE lower(column_type) END AS t FROM (DESCRIBE {select}))"""
+
+
+_CHANGED_SQL = "SELECT * EXCLUDE (props) REPLACE (CAST(value AS FLOAT) AS value), 'x' AS site FROM events"
+
+
 @query(
     "schema_compare",
-    """SELECT * FROM (VALUES ('props', 'string', NULL, 'removed'), ('site', NULL, 'string', 'added'),
-    ('value', 'double', 'float', 'retyped')) AS t("column", old_type, new_type, change)
-    WHERE EXISTS (SELECT 1 FROM events)""",
+    f"""SELECT coalesce(o.c, n.c) AS "column", o.t AS old_type, n.t AS new_type,
+    CASE WHEN o.c IS NULL THEN 'added' WHEN n.c IS NULL THEN 'removed' ELSE 'retyped' END AS change
+    FROM {_columns_sql("SELECT * FROM events")} o FULL JOIN {_columns_sql(_CHANGED_SQL)} n ON o.c = n.c WHERE o.t IS DISTINCT FROM n.t""",
 )
 def schema_compare(spark, sf):
     events = read_table(spark, sf, "events")
-    # only columns that hold data take part
-    live = profile_table(_changed(events)).filter("non_null > 0").select("column", "type")
-    return compare_schemas(column_types(events), live)
+    return compare_schemas(column_types(events), column_types(_changed(events)))
+
+
+def _sources_sql(**selects: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS s, c, t FROM {_columns_sql(select)}" for name, select in selects.items())
 
 
 @query(
     "schema_drift",
-    """SELECT * FROM (VALUES ('events', 'props', 'removed', 'string', NULL), ('events', 'site', 'added', NULL, 'string'),
-    ('events', 'value', 'retyped', 'double', 'float'), ('nation', 'n_nationkey', 'vanished_source', 'int', NULL),
-    ('nation', 'n_name', 'vanished_source', 'string', NULL), ('nation', 'n_regionkey', 'vanished_source', 'int', NULL),
-    ('region', 'r_regionkey', 'new_source', NULL, 'int'), ('region', 'r_name', 'new_source', NULL, 'string'))
-    AS t(source, "column", change, old_type, new_type) WHERE EXISTS (SELECT 1 FROM events)""",
+    f"""WITH o AS ({_sources_sql(events="SELECT * FROM events", nation="SELECT * FROM nation")}),
+    n AS ({_sources_sql(events=_CHANGED_SQL, region="SELECT * FROM region")})
+    SELECT coalesce(o.s, n.s) AS source, coalesce(o.c, n.c) AS "column",
+      CASE WHEN coalesce(o.s, n.s) NOT IN (SELECT s FROM o) THEN 'new_source' WHEN coalesce(o.s, n.s) NOT IN (SELECT s FROM n) THEN 'vanished_source'
+        WHEN o.c IS NULL THEN 'added' WHEN n.c IS NULL THEN 'removed' ELSE 'retyped' END AS change, o.t AS old_type, n.t AS new_type
+    FROM o FULL JOIN n ON o.s = n.s AND o.c = n.c WHERE o.t IS DISTINCT FROM n.t""",
 )
 def schema_drift(spark, sf):
     events, nation, region = (read_table(spark, sf, t) for t in ("events", "nation", "region"))
@@ -65,29 +78,24 @@ def schema_drift(spark, sf):
 
 @query(
     "pii_scan",
-    f"""SELECT * FROM (VALUES {", ".join(f"('{c}', {str(any(p in c for p in ('name', 'badge', 'operator'))).lower()})" for c in
-    ("incident_id", "date", "time", "operator_name", "operator_badge", "machine_id", "severity", "comment", "status", "hour", "type_heat", "type_pressure", "type_noise", "shift"))})
-    AS t("column", is_pii) WHERE EXISTS (SELECT 1 FROM orders)""",
+    f"""SELECT c AS "column", regexp_matches(c, 'name|badge|operator') AS is_pii
+    FROM {_columns_sql(f"(WITH {REPORTS_SQL} SELECT * FROM reports)")}""",
 )
 def pii_scan(spark, sf):
-    table = reports(spark, sf)
-    live = profile_table(table, approximate=True).filter("non_null > 0")
-    return scan_names(table).join(live.select("column"), "column", "left_semi")
+    return scan_names(reports(spark, sf))
 
 
 @query(
     "ml_feature_select",
-    """SELECT * FROM (VALUES ('l_quantity', 'numeric'), ('l_extendedprice', 'numeric'), ('l_discount', 'numeric'),
-    ('l_tax', 'numeric'), ('l_returnflag', 'categorical')) AS t(feature, role) WHERE EXISTS (SELECT 1 FROM lineitem)""",
+    f"""SELECT c AS feature, CASE WHEN t IN ('double', 'float', 'int', 'bigint') THEN 'numeric' ELSE 'categorical' END AS role
+    FROM {_columns_sql("SELECT * FROM lineitem")} WHERE c NOT IN ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_linestatus')
+      AND (t IN ('double', 'float', 'int', 'bigint') OR c = 'l_returnflag')""",
 )
 def ml_feature_select(spark, sf):
-    df = telemetry(spark, sf)
     ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    numeric, categorical = column_roles(df, "l_linestatus", ids, ["l_returnflag", "l_linestatus"])
+    numeric, categorical = column_roles(telemetry(spark, sf), "l_linestatus", ids, ["l_returnflag", "l_linestatus"])
     rows = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical]
-    roles = spark.createDataFrame(rows, "feature string, role string")
-    live = profile_table(df, approximate=True).filter("non_null > 0").select(F.col("column").alias("feature"))
-    return roles.join(live, "feature", "left_semi")
+    return spark.createDataFrame(rows, "feature string, role string")
 
 
 _WEIGHTS = {"l_quantity": 0.5, "l_extendedprice": -0.001, "l_discount": 20.0, "l_tax": -10.0}

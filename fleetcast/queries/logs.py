@@ -118,6 +118,12 @@ def contingency(spark, sf):
     return cross_counts(long_reports(spark, sf), "type_panne", "sev_grp")
 
 
+def _tail_sql(x: str, dof: str) -> str:
+    """Upper tail of a chi-square distribution with an even number of degrees of freedom."""
+    return f"""round((SELECT sum(exp(CASE WHEN i = 0 THEN 0 ELSE i * ln(({x}) / 2) - lgamma(i + 1) END - ({x}) / 2))
+      FROM range(CAST(({dof}) / 2 AS BIGINT)) AS q(i)), 6)"""
+
+
 def _chi2_sql(a: str, b: str) -> str:
     return f"""o AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM long
       WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
@@ -130,19 +136,19 @@ def _chi2_sql(a: str, b: str) -> str:
     SELECT CAST(t AS BIGINT) AS n, round(chi2, 6) AS chi2, CAST((nr - 1) * (nc - 1) AS INTEGER) AS dof,
       round(sqrt(greatest(0, chi2 / t - (nr - 1) * (nc - 1) / (t - 1)) /
         least(nr - (nr - 1) * (nr - 1) / (t - 1) - 1, nc - (nc - 1) * (nc - 1) / (t - 1) - 1)), 6) AS cramers_v,
-      low AS n_low_expected FROM x"""
+      low AS n_low_expected, {_tail_sql("chi2", "(nr - 1) * (nc - 1)")} AS p_chi2 FROM x"""
 
 
 @query("chi2_cramer", f"WITH {LONG_SQL}, {_chi2_sql('type_panne', 'sev_grp')}")
 def chi2_cramer(spark, sf):
-    out = chi2(long_reports(spark, sf), "type_panne", "sev_grp").drop("p_chi2")
-    return rounded(out, "chi2", "cramers_v")
+    out = chi2(long_reports(spark, sf), "type_panne", "sev_grp")
+    return rounded(out, "chi2", "cramers_v", "p_chi2")
 
 
 @query("chi2_machine_type", f"WITH {LONG_SQL}, {_chi2_sql('machine_id', 'type_panne')}")
 def chi2_machine_type(spark, sf):
-    out = chi2(long_reports(spark, sf), "machine_id", "type_panne").drop("p_chi2")
-    return rounded(out, "chi2", "cramers_v")
+    out = chi2(long_reports(spark, sf), "machine_id", "type_panne")
+    return rounded(out, "chi2", "cramers_v", "p_chi2")
 
 
 def _kruskal_sql(source: str, group: str) -> str:
@@ -156,19 +162,20 @@ def _kruskal_sql(source: str, group: str) -> str:
       FROM s, t, (SELECT count(*) AS tot FROM r)),
     f AS (SELECT n, k, 12 * ss / (CAST(n AS DOUBLE) * (n + 1)) /
       (1 - ties / (CAST(n AS DOUBLE) * n * n - n)) AS hh FROM h)
-    SELECT CAST(n AS BIGINT) AS n, k, round(hh, 6) AS kruskal_h, round((hh - k + 1) / (n - k), 6) AS epsilon2 FROM f"""
+    SELECT CAST(n AS BIGINT) AS n, k, round(hh, 6) AS kruskal_h, round((hh - k + 1) / (n - k), 6) AS epsilon2,
+      {_tail_sql("hh", "k - 1")} AS p_kruskal FROM f"""
 
 
 @query("kruskal", f"WITH {LONG_SQL}, {_kruskal_sql('long', 'type_panne')}")
 def kruskal(spark, sf):
-    out = kruskal_test(long_reports(spark, sf), "type_panne", "severity").drop("p_kruskal")
-    return rounded(out, "kruskal_h", "epsilon2")
+    out = kruskal_test(long_reports(spark, sf), "type_panne", "severity")
+    return rounded(out, "kruskal_h", "epsilon2", "p_kruskal")
 
 
 @query("kruskal_machine", f"WITH {REPORTS_SQL}, {_kruskal_sql('reports', 'machine_id')}")
 def kruskal_machine(spark, sf):
-    out = kruskal_test(reports(spark, sf), "machine_id", "severity").drop("p_kruskal")
-    return rounded(out, "kruskal_h", "epsilon2")
+    out = kruskal_test(reports(spark, sf), "machine_id", "severity")
+    return rounded(out, "kruskal_h", "epsilon2", "p_kruskal")
 
 
 @query(

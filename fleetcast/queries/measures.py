@@ -343,3 +343,13 @@ def impute_constant(spark, sf):
     fit = F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")
     out = quality.impute_constant(df, ["s1"], "median", fit)
     return rounded(out.select("event_id", "s1"), "s1")
+
+
+@query(
+    "impute_mean",
+    """WITH r AS (SELECT event_id, CASE WHEN value >= 5 THEN value END AS s1 FROM events)
+    SELECT event_id, round(coalesce(s1, (SELECT avg(s1) FROM r)), 6) AS s1 FROM r""",
+)
+def impute_mean(spark, sf):
+    df = read_table(spark, sf, "events").select("event_id", F.when(F.col("value") >= 5, F.col("value")).alias("s1"))
+    return rounded(quality.impute_constant(df, ["s1"], "mean"), "s1")

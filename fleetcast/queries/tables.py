@@ -154,6 +154,14 @@ def maint_summary(spark, sf):
     return rounded(checks.maintenance_summary(interventions(spark, sf)), "mean")
 
 
+@query(
+    "maint_by_component",
+    f"WITH {INTERVENTIONS_SQL} SELECT component, count(*) AS count, count(related_incident_id) AS n_linked FROM intervention GROUP BY component",
+)
+def maint_by_component(spark, sf):
+    return checks.maintenance_by_component(interventions(spark, sf))
+
+
 @query(
     "maint_by_machine",
     f"""WITH {INTERVENTIONS_SQL} SELECT machine_code, count(*) FILTER (WHERE maintenance_type = 'proactive') AS proactive,
@@ -194,15 +202,3 @@ def capacity_check(spark, sf):
     m = machines(spark, sf)
     cols = capacity_columns(capacity_ratio_median(m))
     return m.select("machine_code", *[c.alias(n) for n, c in cols.items()])
-
-
-@query(
-    "dim_sensor",
-    "SELECT * FROM (VALUES (1, 'l_quantity', 'pcs'), (2, 'l_extendedprice', 'eur'), (3, 'l_discount', ''), "
-    "(4, 'l_tax', '')) AS t(sensor_id, name, unit) WHERE EXISTS (SELECT 1 FROM lineitem)",
-)
-def dim_sensor(spark, sf):
-    # the sensors are those columns of the telemetry that have a value
-    units = {"l_quantity": "pcs", "l_extendedprice": "eur", "l_discount": "", "l_tax": ""}
-    live = stats.profile(telemetry(spark, sf).select(*units), approximate=True).filter("non_null > 0")
-    return sensor_dimension(spark, units).join(live, F.col("name") == F.col("column"), "left_semi")

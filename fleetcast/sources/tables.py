@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -28,8 +27,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_layer(spark: SparkSession, root: str, layer: str, names: list[str]) -> dict[str, DataFrame]:
     """All named tables of a layer (``bronze``, ``silver``, ``gold``) as a dict."""
-    base = PurePosixPath(root) / layer
-    return {n: spark.read.parquet(str(base / n)) for n in names}
+    return {n: spark.read.parquet(f"{root.rstrip('/')}/{layer}/{n}") for n in names}
 
 
 def read_csv_source(spark: SparkSession, source: CsvSource) -> DataFrame:

@@ -14,31 +14,31 @@ from fleetcast.operators.association import chi2_cramer, kruskal
 from fleetcast.operators.conform import column_roles
 from tests.helpers import by
 
-Y = [0, 0, 1, 1, 1, 0, 1, 0]
-S = [0.1, 0.4, 0.35, 0.8, 0.6, 0.2, 0.55, 0.9]
+# 30 alarms in 10 steps of score; the higher the step, the more of its three are real
+ALARMS = [(int(k < step // 3), step / 20) for step in range(10) for k in range(3)]
 
 
 def scored(spark):
-    return spark.createDataFrame(list(zip(Y, S)), "y int, score double")
+    return spark.createDataFrame(ALARMS, "y int, score double")
 
 
 def test_curve_equals_direct_metrics(spark, chunks):
-    curve = evaluate.pr_curve(scored(spark), "y", "score").collect()
-    assert len(curve) == len(set(S))
-    for r in curve:
-        tp = sum(y and s >= r["threshold"] for y, s in zip(Y, S))
-        flagged = sum(s >= r["threshold"] for s in S)
-        p, q = tp / flagged, tp / sum(Y)
-        assert r["precision"] == pytest.approx(p) and r["recall"] == pytest.approx(q)
-        assert r["f1"] == pytest.approx(2 * p * q / (p + q) if p + q else 0)
-        assert r["f2"] == pytest.approx(5 * p * q / (4 * p + q) if p + q else 0)
+    curve = by(evaluate.pr_curve(scored(spark), "y", "score"), "threshold")
+    assert [r["threshold"] for r in curve] == [step / 20 for step in range(10)]
+    real = [step // 3 for step in range(10)]  # per step
+    for step, r in enumerate(curve):
+        hit, shown, all_real = sum(real[step:]), 3 * (10 - step), sum(real)
+        assert (r["precision"], r["recall"]) == pytest.approx((hit / shown, hit / all_real))
+        for beta, name in ((1, "f1"), (2, "f2")):
+            assert r[name] == pytest.approx((1 + beta**2) * hit / (beta**2 * all_real + shown))
 
 
 def test_best_threshold_takes_the_lowest_on_ties(spark):
-    rows = [(0.2, 0.5, 0.9, 0.64, 0.78), (0.5, 0.6, 0.5, 0.55, 0.52), (0.7, 0.9, 0.5, 0.64, 0.55)]
-    curve = spark.createDataFrame(rows, "threshold double, precision double, recall double, f1 double, f2 double")
-    assert evaluate.best_threshold(curve, "f1").first()["threshold"] == 0.2
-    assert evaluate.best_threshold(curve, "f2").first()["threshold"] == 0.2
+    curve = spark.createDataFrame(
+        [(0.81, 1.0, 0.1, 0.18, 0.12), (0.33, 0.4, 0.7, 0.51, 0.61), (0.12, 0.3, 1.0, 0.46, 0.68), (0.47, 0.5, 0.52, 0.51, 0.52), (0.05, 0.3, 1.0, 0.46, 0.68)],
+        "threshold double, precision double, recall double, f1 double, f2 double",
+    )
+    assert [evaluate.best_threshold(curve, m).first()["threshold"] for m in ("f1", "f2", "precision")] == [0.33, 0.05, 0.81]
 
 
 def test_average_precision_and_auc_with_ties(spark, chunks):
@@ -58,15 +58,16 @@ def test_average_precision_and_auc_with_ties(spark, chunks):
 
 
 def test_confusion_and_degenerate_cases(spark):
-    r = evaluate.confusion(scored(spark), "y", "score").first()
-    assert (r["tn"], r["fp"], r["fn"], r["tp"]) == (3, 1, 1, 3)
-    none = evaluate.confusion(scored(spark), "y", "score", 2.0).first()
-    assert (none["precision"], none["recall"], none["f1"]) == (0.0, 0.0, 0.0)
+    # from 0.3 on: steps 6 to 9 with 2, 2, 2 and 3 real of 3; before: 1, 1, 1 in steps 3 to 5
+    r = evaluate.confusion(scored(spark), "y", "score", 0.3).first()
+    assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (9, 3, 3, 15)
+    none = evaluate.confusion(scored(spark), "y", "score").first()  # 0.5 is above all scores
+    assert (none["precision"], none["recall"], none["f1"], none["tn"], none["fn"]) == (0.0, 0.0, 0.0, 18, 12)
     one_class = spark.createDataFrame([(0, 0.1), (0, 0.2)], "y int, score double")
     assert evaluate.roc_auc(one_class, "y", "score").first()[0] is None
     assert evaluate.class_weights(one_class, "y").first()["scale_pos_weight"] == 1.0
-    table = by(evaluate.threshold_table(scored(spark), "y", "score", [0.3, 0.5]), "threshold")
-    assert [r["tp"] for r in table] == [4, 3]
+    table = by(evaluate.threshold_table(scored(spark), "y", "score", [0.45, 0.0, 0.15]), "threshold")
+    assert [(r["tp"], r["fp"]) for r in table] == [(12, 18), (12, 9), (3, 0)]
 
 
 def test_class_weights(spark):
@@ -148,13 +149,15 @@ def test_importance_shares(spark):
 
 
 def test_importance_comparison(spark):
-    first = table(spark, [("f1", 5.0, 0.4), ("f2", 4.0, 0.3), ("f3", 3.0, 0.15), ("f4", 2.0, 0.1), ("f5", 1.0, 0.05)])
-    second = table(spark, [("f2", 5.0, 0.5), ("f1", 4.0, 0.3), ("f3", 3.0, 0.15), ("f4", 1.0, 0.05)])
-    out = {r["feature"]: r for r in explain.compare_importance(first, second, 15).collect()}
-    assert (out["f1"]["delta_rank"], out["f2"]["delta_rank"], out["f3"]["delta_rank"]) == (-1, 1, 0)
-    assert out["f5"]["rank_second"] == 6 and out["f5"]["share_second"] == 0.0
-    top = explain.compare_importance(first, first, 1).collect()
-    assert [r["feature"] for r in top] == ["f1"]
+    first = table(spark, [("age", 0.9, 0.45), ("load", 0.6, 0.3), ("heat", 0.4, 0.2), ("noise", 0.1, 0.05)])
+    second = table(spark, [("noise", 8.0, 0.4), ("load", 6.0, 0.3), ("dust", 4.0, 0.2), ("age", 2.0, 0.1)])
+    out = {r["feature"]: r for r in explain.compare_importance(first, second, 4).collect()}
+    assert {f: r["delta_rank"] for f, r in out.items() if f in ("age", "load", "noise")} == {"age": -3, "load": 0, "noise": 3}
+    # who is missing on a side ranks one past its last and has no share
+    assert (out["heat"]["rank_second"], out["heat"]["share_second"]) == (5, 0.0)
+    assert (out["dust"]["rank_first"], out["dust"]["share_first"]) == (5, 0.0)
+    top = explain.compare_importance(first, second, 1).collect()
+    assert {r["feature"] for r in top} == {"age", "noise"}
 
 
 # --- classifiers ---------------------------------------------------------------------------------

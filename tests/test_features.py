@@ -37,33 +37,59 @@ def features(frame, roles, stats):
     )
 
 
-def two_segments(spark):
-    temps = [10.0, 20.0, 30.0, 100.0, 110.0, 120.0]
-    rows = [
-        (1, hour(i), i // 3, False, temps[i], 1.0, 1.0, 1.0, i + 1) for i in range(6)
-    ]
-    return frame(
-        spark,
-        rows,
-        "machine_pk int, timestamp timestamp_ntz, segment int, during_maintenance boolean, "
-        + ", ".join(f"{s} double" for s in SENSORS)
-        + ", pieces_produced int",
-    )
+FRAME = (
+    "machine_pk int, timestamp timestamp_ntz, segment int, during_maintenance boolean, "
+    + ", ".join(f"{s} double" for s in SENSORS)
+    + ", pieces_produced int"
+)
+
+
+def three_segments(spark):
+    """Readings 1.5 h apart; a new segment after 4 and after 6 readings. The temperature falls by 3 an hour in
+    the first one, is missing once in the second and constant in the third."""
+    temps = [60.0, 55.5, 51.0, 46.5, None, 8.0, 5.0, 5.0, 5.0]
+    parts = [3, 3, 3, 3, 7, 7, 9, 9, 9]
+    made = [4, 0, None, 6, 1, 1, 2, 2, 2]
+    rows = [(12, hour(1.5 * i), g, False, t, 2.0 * i, 1.0, -1.0, p) for i, (t, g, p) in enumerate(zip(temps, parts, made, strict=True))]
+    return frame(spark, rows, FRAME)
 
 
 def test_rolling_stays_in_the_segment_and_in_the_past(spark, chunks):
-    frame_ = segment_frame(context_chunks(two_segments(spark), ROLES), ROLES)
+    frame_ = segment_frame(context_chunks(three_segments(spark), ROLES), ROLES)
     rows = by(features(frame_, ROLES, rolling_stats(ROLES)), "us")
-    assert rows[3]["temperature_c_mean_48h"] == 100.0
-    assert rows[5]["temperature_c_mean_48h"] == 110.0
-    assert rows[0]["temperature_c_mean_6h"] == 10.0
-    assert abs(rows[5]["temperature_c_slope_48h"] - 10.0) < 1e-6
-    assert rows[0]["temperature_c_std_6h"] is None
-    assert rows[3]["temperature_c_slope_48h"] == 0.0
+    column = lambda name: [None if r[name] is None else round(r[name], 9) for r in rows]
+    assert column("temperature_c_mean_48h") == [60.0, 57.75, 55.5, 53.25, None, 8.0, 5.0, 5.0, 5.0]
+    # the fourth reading's 6 h reach back to the first, the fifth sees nothing of the segment before
+    assert column("temperature_c_max_6h") == [60.0, 60.0, 60.0, 60.0, None, 8.0, 5.0, 5.0, 5.0]
+    assert column("temperature_c_slope_6h") == [0.0, -3.0, -3.0, -3.0, None, 0.0, 0.0, 0.0, 0.0]
+    assert column("temperature_c_std_48h")[:2] == [None, round(4.5 / 2**0.5, 9)] and column("temperature_c_std_48h")[6:] == [None, 0.0, 0.0]
+    assert column("pressure_bar_slope_48h")[4:6] == [0.0, round(2 / 1.5, 9)]
+    assert [r["prod_sum_24h"] for r in rows] == [4, 4, 4, 10, 1, 2, 2, 4, 6]
+    assert [r["prod_cumul_segment"] for r in rows] == [4, 4, None, 10, 1, 2, 2, 4, 6]
     assert {f"temperature_c_std_{w}h" for w in WINDOWS_H} <= set(rows[0])
-    assert [r["prod_cumul_segment"] for r in rows] == [1, 3, 6, 4, 9, 15]
-    start = by(hours_in_segment(frame_, ROLES), "us")
-    assert [r["hours_in_segment"] for r in start] == [0.0, 1.0, 2.0, 0.0, 1.0, 2.0]
+    begun = by(hours_in_segment(frame_, ROLES), "us")
+    assert [r["hours_in_segment"] for r in begun] == [0.0, 1.5, 3.0, 4.5, 0.0, 1.5, 0.0, 1.5, 3.0]
+
+
+def test_production_keeps_fractions_and_large_numbers(spark, chunks):
+    part = three_segments(spark).drop("pieces_produced")
+    some = segment_frame(context_chunks(part.withColumn("pieces_produced", F.lit(0.4)), ROLES), ROLES)
+    rows = by(apply_trailing(some, ROLES, production_stats(ROLES)), "us")
+    assert [r["prod_sum_24h"] for r in rows[:4]] == pytest.approx([0.4, 0.8, 1.2, 1.6])
+    big = (1 << 53) + 1
+    many = segment_frame(context_chunks(part.withColumn("pieces_produced", F.lit(big)), ROLES), ROLES)
+    rows = by(apply_trailing(many, ROLES, production_stats(ROLES)), "us")
+    assert [r["prod_sum_24h"] for r in rows[:4]] == [big, 2 * big, 3 * big, 4 * big]
+
+
+def test_halo_does_not_grow_with_the_chunks(spark):
+    # one machine, all readings inside one window
+    rows = spark.range(4000).selectExpr("1 AS machine_pk", "0 AS segment", "false AS during_maintenance", "id * 40000000 AS us", "1D AS s")
+    roles = Roles(entity="machine_pk", sensors=("s",))
+    for parts in (4, 64):
+        placed = segment_frame(context_chunks(rows, roles, parts), roles)
+        assert placed.count() < 2 * 4000
+        assert placed.filter("NOT _halo").count() == 4000
 
 
 def test_window_excludes_a_reading_exactly_one_window_old(spark, chunks):
@@ -77,9 +103,9 @@ def test_window_excludes_a_reading_exactly_one_window_old(spark, chunks):
 
 
 def test_lags(spark, chunks):
-    out = by(lag_features(context_chunks(two_segments(spark), ROLES), ROLES, (1, 2)), "us")
-    assert [r["temperature_c_lag_1"] for r in out] == [None, 10.0, 20.0, None, 100.0, 110.0]
-    assert [r["temperature_c_lag_2"] for r in out] == [None, None, 10.0, None, None, 100.0]
+    out = by(lag_features(context_chunks(three_segments(spark), ROLES), ROLES, (1, 2)), "us")
+    assert [r["temperature_c_lag_1"] for r in out] == [None, 60.0, 55.5, 51.0, None, None, None, 5.0, 5.0]
+    assert [r["temperature_c_lag_2"] for r in out] == [None, None, 60.0, 55.5, None, None, None, None, 5.0]
 
 
 def gaps(spark, values, during=None):
@@ -96,20 +122,13 @@ ONE = Roles(entity="machine_pk", sensors=("s",))
 
 
 def test_interpolation_skips_maintenance(spark, chunks):
-    rows = [
-        (1, hour(i), seg, d, v)
-        for i, (v, seg, d) in enumerate(
-            [(40.0, 0, False), (None, 0, False), (42.0, 0, False), (50.0, 1, True), (None, 1, True), (44.0, 1, False)]
-        )
-    ]
-    df = frame(
-        spark,
-        rows,
-        "machine_pk int, timestamp timestamp_ntz, segment int, during_maintenance boolean, s double",
-    )
+    # under repair (second segment, first two readings) gaps stay; the gap after it is not bridged from before
+    told = [(9.0, 4, False), (None, 4, False), (None, 4, False), (3.0, 4, False), (None, 5, True), (80.0, 5, True), (None, 5, False), (6.0, 5, False), (None, 5, False)]
+    rows = [(2, hour(0.25 * i), seg, d, v) for i, (v, seg, d) in enumerate(told)]
+    df = frame(spark, rows, "machine_pk int, timestamp timestamp_ntz, segment int, during_maintenance boolean, s double")
     out = by(interpolate(context_chunks(df, ONE), ONE), "us")
-    assert out[1]["s"] == 41.0 and out[1]["s_was_imputed"]
-    assert out[4]["s"] is None and not out[4]["s_was_imputed"]
+    assert [r["s"] for r in out] == [9.0, 7.0, 5.0, 3.0, None, 80.0, 6.0, 6.0, 6.0]
+    assert [i for i, r in enumerate(out) if r["s_was_imputed"]] == [1, 2, 6, 8]
 
 
 def test_interpolation_edges_position_and_time(spark, chunks):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetcast.functions.time import micros
 from fleetcast.operators import checks, quality
 from fleetcast.operators.conform import drop_identifiers, enrich_incidents, pii_scan, report_confidence
 from fleetcast.operators.stats import pearson, spearman
@@ -14,66 +15,64 @@ SENSORS = list(SENSOR_UNITS)
 SCHEMA = "machine_id string, timestamp timestamp_ntz, " + ", ".join(f"{s} double" for s in SENSORS) + ", pieces_produced int"
 
 
-def fleet(spark, n=48):
-    rows = [
-        (m, hour(i), 45.0 + i % 10, 195.0 + i % 5, 227.0 + (i % 3) * 0.5, 1500.0 + i % 20, i % 50)
-        for m in ("MACH-01", "MACH-02")
-        for i in range(n)
-    ]
-    return frame(spark, rows, SCHEMA)
+def kilns(spark):
+    """Three kilns, a reading every 40 minutes for a day; each sensor its own wave, kiln by kiln a little apart."""
+    wave = "FROM (SELECT explode(sequence(0, 35)) AS k) CROSS JOIN VALUES ('KILN-A', 0), ('KILN-B', 1), ('KILN-C', 2) AS t(machine_id, o)"
+    df = spark.sql(
+        f"""SELECT machine_id, TIMESTAMP_NTZ '2023-11-05 06:00:00' + make_interval(0, 0, 0, 0, 0, 40 * k) AS timestamp,
+        900 + 25 * sin(k / 4) + o AS temperature_c, 3 + cos(k / 7 + o) AS pressure_bar, 400 - k / 9 AS voltage_mean_v,
+        60 + 11 * sin(k * k) AS rotation_mean_rpm, CAST(k DIV 3 AS INT) AS pieces_produced {wave}"""
+    )
+    return df.withColumns({s: F.col(s).cast("double") for s in SENSORS}).withColumn("us", micros("timestamp"))
 
 
 def test_pii_scan(spark):
-    assert not any(r["is_pii"] for r in pii_scan(fleet(spark)).collect())
-    flagged = {r["column"] for r in pii_scan(fleet(spark).withColumn("operator_name", F.lit("X"))).collect() if r["is_pii"]}
-    assert flagged == {"operator_name"}
-    allowed = pii_scan(fleet(spark).withColumn("model_name", F.lit("X")), allow=["model_name"])
-    assert not any(r["is_pii"] for r in allowed.collect())
+    named = kilns(spark).withColumns({"Operator_Shoe": F.lit(41), "batch_name": F.lit(None).cast("string"), "colour": F.lit("red")})
+    assert {r["column"] for r in pii_scan(named).collect() if r["is_pii"]} == {"Operator_Shoe", "batch_name"}
+    assert {r["column"] for r in pii_scan(named, allow=["batch_name"]).collect() if r["is_pii"]} == {"Operator_Shoe"}
+    assert not any(r["is_pii"] for r in pii_scan(kilns(spark)).collect())
 
 
 def test_dedup_keeps_the_first(spark):
-    df = fleet(spark)
-    twice = df.unionByName(df.limit(2).withColumn("temperature_c", F.lit(-1.0)))
-    out = quality.dedup_first(twice, ["machine_id", "timestamp"], ["temperature_c"])
-    assert out.count() == df.count() and out.columns == twice.columns
-    assert out.filter("temperature_c = -1").count() == 2
+    df = kilns(spark)
+    colder = df.filter("machine_id <> 'KILN-C'").withColumn("temperature_c", F.col("temperature_c") - 500)
+    out = quality.dedup_first(df.unionByName(colder), ["machine_id", "timestamp"], ["temperature_c"])
+    assert out.columns == df.columns and out.count() == 108
+    assert {(r["machine_id"], r["n"]) for r in out.filter("temperature_c < 600").groupBy("machine_id").agg(F.count("*").alias("n")).collect()} == {
+        ("KILN-A", 36), ("KILN-B", 36),
+    }
 
 
 def test_outlier_bounds_and_flags(spark, chunks):
-    df = fleet(spark)
-    out = by(quality.detect_outliers(df, SENSORS), "measure")
-    assert len(out) == 4 and all(r["low"] <= r["high"] and 0 <= r["pct"] <= 100 for r in out)
-    wild = df.withColumn(
-        "pressure_bar",
-        F.when((F.col("machine_id") == "MACH-01") & (F.col("us") == F.lit(df.agg(F.min("us")).first()[0])), 10_000.0).otherwise(
-            F.col("pressure_bar")
-        ),
-    )
-    marked = quality.flag_outliers(wild, SENSORS).filter("pressure_bar_is_outlier").collect()
-    assert [r["pressure_bar"] for r in marked] == [10_000.0]
+    df = kilns(spark)
+    hole = df.withColumn("rotation_mean_rpm", F.when(F.col("pieces_produced") == 7, -400.0).otherwise(F.col("rotation_mean_rpm")))
+    marked = quality.flag_outliers(hole, SENSORS)
+    assert marked.filter("rotation_mean_rpm_is_outlier").count() == 9  # three readings of three kilns
+    assert marked.filter("rotation_mean_rpm_is_outlier AND pieces_produced <> 7").isEmpty()
+    told = by(quality.detect_outliers(hole, SENSORS), "measure")
+    assert [r["measure"] for r in told] == sorted(SENSORS)
+    assert all(r["low"] < r["high"] for r in told)
+    assert {r["measure"]: round(r["pct"], 6) for r in told}["rotation_mean_rpm"] == round(900 / 108, 6)
 
 
 def test_mixed_units_are_suspect(spark):
-    df = fleet(spark)
-    assert not any(r["unit_suspect"] for r in quality.unit_consistency(df, "machine_id", SENSORS).collect())
-    mixed = df.withColumn(
-        "temperature_c",
-        F.when(F.col("machine_id") == "MACH-02", F.col("temperature_c") * 1.8 + 32).otherwise(F.col("temperature_c")),
-    )
-    bad = {r["measure"] for r in quality.unit_consistency(mixed, "machine_id", SENSORS).collect() if r["unit_suspect"]}
-    assert bad == {"temperature_c"}
+    df = kilns(spark)
+    assert not [r for r in quality.unit_consistency(df, "machine_id", SENSORS).collect() if r["unit_suspect"]]
+    in_psi = df.withColumn("pressure_bar", F.col("pressure_bar") * F.when(F.col("machine_id") == "KILN-B", 14.5).otherwise(1.0))
+    suspect = {r["measure"]: r["unit_suspect"] for r in quality.unit_consistency(in_psi, "machine_id", SENSORS).collect()}
+    assert suspect == {s: s == "pressure_bar" for s in SENSORS}
 
 
 def test_saturation_is_a_pile_up_not_a_ramp(spark):
-    temps = [50.0] * 4 + [41.0 + i for i in range(6)]
-    rows = [("M", hour(i), t, 190.0 + i, 227.0, 1500.0, 0) for i, t in enumerate(temps)]
-    df = frame(spark, rows, SCHEMA)
+    # the sensor stops at its lower end: five readings at 12.5, the others apart; voltage is a ramp, rpm never moves
+    low = [12.5, 80.0, 12.5, 71.0, 12.5, 64.5, 12.5, 93.0, 12.5, 55.5, 47.0]
+    df = frame(spark, [("D", hour(3 * i), v, 5.0 + i % 2, 100.0 - 2 * i, 7.0, 1) for i, v in enumerate(low)], SCHEMA)
     out = by(quality.flag_saturation(df, SENSORS), "us")
-    assert [r["temperature_c_is_saturated"] for r in out] == [True] * 4 + [False] * 6
-    assert not any(r["pressure_bar_is_saturated"] for r in out)
+    assert [r["temperature_c_is_saturated"] for r in out] == [v == 12.5 for v in low]
+    assert not any(r["voltage_mean_v_is_saturated"] for r in out)
     facts = {r["measure"]: r for r in quality.detect_saturation(df, SENSORS).collect()}
-    assert facts["temperature_c"]["saturated_high"] and facts["temperature_c"]["n_saturated"] == 4
-    assert not facts["voltage_mean_v"]["saturated_high"]  # a constant has no range
+    assert facts["temperature_c"]["n_saturated"] == 5 and not facts["temperature_c"]["saturated_high"]
+    assert not facts["rotation_mean_rpm"]["saturated_high"] and facts["voltage_mean_v"]["n_saturated"] == 0
 
 
 def test_correlations(spark, chunks):
