@@ -20,7 +20,7 @@ out are compared in tiles of keepers against members, which count intersections
 once and return only a spanning forest of the links. No result depends on a bucket's size.
 
 Null and empty texts have an empty set and link with nothing. Rows with a null id are returned with a
-null component and link with nothing. Repeated ids and repeated rows are compared like any rows.
+null component and link with nothing. Rows of one id are one document: their texts are linked.
 """
 
 from __future__ import annotations
@@ -452,6 +452,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("a")).distinct()
     sets = sets_of(known, told, stage(wanted), k)
     links = verify_pairs(pairs, sets, similarity).unionByName(verify_large(large, sets, similarity))
+    # rows of one id are one document
+    torn = told.groupBy("doc_id").agg(F.min("class").alias("b"), F.max("class").alias("c")).filter("b != c").drop("c")
+    links = links.unionByName(told.join(torn, "doc_id").filter("class != b").select(F.col("class").alias("a"), "b").distinct())
     roots = components(stage(links))
     # a component is known by its smallest document
     first = told.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("d"))

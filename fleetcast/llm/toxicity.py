@@ -38,7 +38,7 @@ TRAINING_ROWS = 200_000
 
 BEGINNING = 4  # bytes
 PRIOR_FLAT = 0.5  # pseudo-words of every beginning
-PRIOR_BEGINNING = 500.0  # pseudo-words dealt out by the rates in both classes
+PRIOR_BEGINNING = 50.0  # pseudo-words dealt out by the rates in both classes
 PRIOR_WORD = 5.0  # pseudo-words inside a beginning
 SIGNIFICANT = 3.0  # standard errors above zero
 LEAST_GAIN = 1.0  # log-odds below it count as none
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     y, n_words = tried.column("toxic").to_numpy().astype(float), tried.column("n").to_numpy()
     scores = tried.column("scores").to_pylist()
     clean = [s for own, bad in zip(scores, y, strict=True) if not bad for s in own]
-    low = min((s for own in scores for s in own), default=0.0)
+    low = float(gain[gain > 0].min()) if (gain > 0).any() else 0.0  # the smallest segment there can be
     model.density = (0.5 + len(clean)) * math.exp(model.rate * low) / max(1, n_words[y == 0].sum())
     x = np.array([model.evidence([(0, 0, s) for s in own], int(k)) for own, k in zip(scores, n_words, strict=True)])
     model.shift, model.slope = _fit_curve(x, y)
