@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(master: str = "local[*]", app: str = "fleetcast", **conf: str) -> SparkSession:
@@ -24,7 +27,26 @@ def build_session(master: str = "local[*]", app: str = "fleetcast", **conf: str)
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, which import the Arrow functions by name.
+
+    Needed where it is not installed on every machine. ``spark-submit --py-files`` does the same.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="fleetcast-")) / "fleetcast.zip"  # read by the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
 
 
 def scratch_dir(spark: SparkSession) -> str:

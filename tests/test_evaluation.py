@@ -230,3 +230,33 @@ def test_search_space_and_params(spark, tmp_path):
     assert models.suggest(3) == models.suggest(3)
     models.save_params(spark, models.suggest(1)[0], str(tmp_path / "p"))
     assert models.load_params(spark, str(tmp_path / "p")) == models.suggest(1)[0]
+
+
+def test_search_orders_rows_once_and_refits_the_best(spark, monkeypatch):
+    df = gold_like(spark)
+    f = features(df)
+    ordered = []
+    index = models.chronological_index
+    monkeypatch.setattr(models, "chronological_index", lambda *a: ordered.append(a) or index(*a))
+    trials = [{"maxIter": n, "maxDepth": 2, "stepSize": 0.1} for n in (1, 2, 2)]
+    rows = models.search(df.filter("split = 'train'"), f, "us", ["id"], trials, 2)
+    assert len(ordered) == 1 and sorted(r["trial"] for r in rows) == [0, 1, 2]
+    same = {r["trial"]: r["pr_auc_cv_mean"] for r in rows}
+    assert same[1] == same[2] and rows == sorted(rows, key=lambda r: (-r["pr_auc_cv_mean"], r["trial"]))
+    train, test = df.filter("split = 'train'"), df.filter("split <> 'train'")
+    equal = {**models.BOOST, "maxIter": 2, "maxDepth": 2}
+    out = [r.asDict() for r in models.refit_best(train, test, f, equal, boost_rounds=2, boost_depth=2).collect()]
+    names = [r.pop("model") for r in out]
+    assert names == ["baseline", "tuned"] and out[0] == out[1]
+
+
+def test_winner_and_best_by_horizon(spark):
+    df = gold_like(spark)
+    train, test, f = df.filter("split = 'train'"), df.filter("split <> 'train'"), features(df)
+    kind = "model string, pr_auc_test double"
+    told = spark.createDataFrame([("boosting", 0.2), ("logreg", 0.9), ("random_forest", 0.9)], kind)
+    assert models.fit_winner(train, f, told, logreg_iter=5).name == "logreg"
+    other = spark.createDataFrame([("boosting", 0.7)], kind)
+    best = {r["horizon_h"]: (r["model"], r["pr_auc_test"]) for r in models.best_by_horizon({6: told, 12: other}).collect()}
+    assert best == {6: ("logreg", 0.9), 12: ("boosting", 0.7)}
+    assert models.evaluate(models.fit_classifier(train, f, "logreg", logreg_iter=5), test).first()["model"] == "logreg"
