@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcast.operators.ordered import IDX, number_order
-from fleetcast.operators.reshape import long_rows, measures_long
+from fleetcast.operators.reshape import long_rows
 from fleetcast.roles import HORIZONS_H, SMD_NOTABLE, SPLIT_RATIOS, SPLITS
 
 
@@ -60,14 +60,15 @@ def _smd(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column) -> Column
 
 def split_smd(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean per split and standardised test-train difference of each numeric column."""
-    long = measures_long(df, cols, ["split"])
-    agg = long.groupBy("measure").agg(
-        *[F.avg(F.when(F.col("split") == s, F.col("value"))).alias(f"{s}_mean") for s in SPLITS],
-        *[
-            F.var_samp(F.when(F.col("split") == s, F.col("value"))).alias(f"{s}_var")
-            for s in ("train", "test")
-        ],
+    def part(fn, split: str, col: str) -> Column:
+        return fn(F.when(F.col("split") == split, F.col(col).cast("double")))
+
+    wide = df.agg(
+        *[part(F.avg, s, c).alias(f"{s}_mean_{i}") for i, c in enumerate(cols) for s in SPLITS],
+        *[part(F.var_samp, s, c).alias(f"{s}_var_{i}") for i, c in enumerate(cols) for s in ("train", "test")],
     )
+    names = [*[f"{s}_mean" for s in SPLITS], "train_var", "test_var"]
+    agg = long_rows(wide, {c: {n: F.col(f"{n}_{i}") for n in names} for i, c in enumerate(cols)}, "measure")
     smd = _smd(F.col("train_mean"), F.col("train_var"), F.col("test_mean"), F.col("test_var"))
     return agg.select(
         F.col("measure").alias("feature"),
@@ -112,28 +113,38 @@ def fold_starts(n: int, k: int) -> list[tuple[int, int, int]]:
     return [(i, n - (k - i) * size, n - (k - i) * size + size) for i in range(k)]
 
 
-def fold_roles(indexed: DataFrame, folds: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """One row per (row, fold it takes part in) with its role, train or val."""
+def fold_blocks(indexed: DataFrame, folds: Sequence[tuple[int, int, int]], aggs: Sequence[Column]) -> DataFrame:
+    """Aggregates of the consecutive blocks that folds are made of, one row per (fold, role, block).
+
+    The training part of fold f is blocks 0 to f, its validation part block f + 1; rows are read
+    once, whatever the number of folds.
+    """
+    _, first, end = folds[0]
     i = F.col(IDX)
-    marks = [
-        F.when(
-            i < end, F.struct(F.lit(f).alias("fold"), F.when(i < start, "train").otherwise("val").alias("role"))
-        )
-        for f, start, end in folds
-    ]
-    return indexed.select("*", F.inline(F.array_compact(F.array(*marks))))
+    block = F.when(i < first, 0).otherwise(1 + F.floor((i - first) / (end - first))).cast("int")
+    blocks = indexed.groupBy(block.alias("block")).agg(*aggs)
+    members = F.transform(
+        F.sequence(F.greatest(F.col("block") - 1, F.lit(0)), F.lit(len(folds) - 1)),
+        lambda f: F.struct(f.alias("fold"), F.when(F.col("block") == f + 1, "val").otherwise("train").alias("role")),
+    )
+    return blocks.filter(F.col("block") <= len(folds)).select("*", F.inline(members))
 
 
 def fold_bounds(df: DataFrame, us: str, ties: Sequence[str], k: int) -> DataFrame:
     """Sizes and time limits of the k expanding folds."""
     indexed = chronological_index(df, us, ties)
-    parts = fold_roles(indexed, fold_starts(indexed.count(), k))
-    return parts.groupBy("fold").agg(
-        F.count(F.when(F.col("role") == "train", 1)).alias("n_train"),
-        F.count(F.when(F.col("role") == "val", 1)).alias("n_val"),
-        F.max(F.when(F.col("role") == "train", F.col(us))).alias("train_max_us"),
-        F.min(F.when(F.col("role") == "val", F.col(us))).alias("val_min_us"),
-        F.max(F.when(F.col("role") == "val", F.col(us))).alias("val_max_us"),
+    folds = fold_starts(indexed.count(), k)
+    blocks = fold_blocks(indexed, folds, [F.count(F.lit(1)).alias("n"), F.min(us).alias("low"), F.max(us).alias("high")])
+
+    def of(role: str, fn, col: str) -> Column:
+        return fn(F.when(F.col("role") == role, F.col(col)))
+
+    return blocks.groupBy("fold").agg(
+        of("train", F.sum, "n").alias("n_train"),
+        of("val", F.sum, "n").alias("n_val"),
+        of("train", F.max, "high").alias("train_max_us"),
+        of("val", F.min, "low").alias("val_min_us"),
+        of("val", F.max, "high").alias("val_max_us"),
     )
 
 
@@ -142,17 +153,36 @@ def fold_smd(
 ) -> DataFrame:
     """Per fold: sizes, positive rates, largest standardised difference and how many are notable."""
     indexed = chronological_index(df, us, ties)
-    parts = fold_roles(indexed, fold_starts(indexed.count(), k))
+    values = [label, *cols]
+    folds = fold_starts(indexed.count(), k)
+    blocks = fold_blocks(
+        indexed,
+        folds,
+        [
+            F.count(F.lit(1)).alias("n"),
+            *[F.count(c).alias(f"n_{i}") for i, c in enumerate(values)],
+            *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(values)],
+            *[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(values)],
+        ],
+    )
+    # k + 1 blocks: mean and spread of a part from those of its blocks
+    part = Window.partitionBy("fold", "role")
+    every = range(len(values))
+    blocks = blocks.withColumns({f"mean_{i}": F.sum(F.col(f"n_{i}") * F.col(f"m_{i}")).over(part) / F.sum(f"n_{i}").over(part) for i in every})
+    spread = lambda i: F.sum(F.col(f"n_{i}") * (F.col(f"v_{i}") + (F.col(f"m_{i}") - F.col(f"mean_{i}")) ** 2)) / F.sum(f"n_{i}")
+    parts = blocks.groupBy("fold", "role").agg(
+        F.sum("n").alias("n"), *[F.max(f"mean_{i}").alias(f"m_{i}") for i in every], *[spread(i).alias(f"v_{i}") for i in every]
+    )
     roles = ("train", "val")
 
     def when(role: str, col: str) -> Column:
-        return F.when(F.col("role") == role, F.col(col))
+        return F.max(F.when(F.col("role") == role, F.col(col)))
 
     agg = parts.groupBy("fold").agg(
-        *[F.count(F.when(F.col("role") == r, 1)).alias(f"n_{r}") for r in roles],
-        *[F.avg(when(r, label)).alias(f"rate_{r}") for r in roles],
-        *[F.avg(when(r, c)).alias(f"{c}_m_{r}") for r in roles for c in cols],
-        *[F.var_pop(when(r, c)).alias(f"{c}_v_{r}") for r in roles for c in cols],
+        *[when(r, "n").alias(f"n_{r}") for r in roles],
+        *[when(r, "m_0").alias(f"rate_{r}") for r in roles],
+        *[when(r, f"m_{i}").alias(f"{c}_m_{r}") for r in roles for i, c in enumerate(cols, 1)],
+        *[when(r, f"v_{i}").alias(f"{c}_v_{r}") for r in roles for i, c in enumerate(cols, 1)],
     )
     smds = F.array(
         *[

@@ -18,15 +18,11 @@ _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, quartiles and max of each column."""
-    long = measures_long(df, cols)
-    moments = long.groupBy("measure").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = quantiles(long, ["measure"], "value", _QUARTILES).drop("n")
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    # one row of all moments: columns are not turned into rows before they are aggregated
+    wide = df.agg(*[fn(F.col(c).cast("double")).alias(f"{kind}_{i}") for i, c in enumerate(cols) for kind, fn in kinds.items()])
+    moments = long_rows(wide, {c: {kind: F.col(f"{kind}_{i}") for kind in kinds} for i, c in enumerate(cols)}, "measure")
+    q = quantiles(measures_long(df, cols), ["measure"], "value", _QUARTILES).drop("n")
     return moments.join(q, "measure", "left")
 
 
@@ -240,10 +236,9 @@ def boxplot(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     q = quantiles(long, ["measure", key], "value", _QUARTILES).drop("n")
     iqr = F.col("q3") - F.col("q1")
     v = F.col("value")
-    # whiskers are values, so distinct values per group are enough
-    values = long.filter("value is not null").distinct()
+    # conditional extremes merge on the map side; the quartile table has one row per group
     return (
-        values.join(q, ["measure", key])
+        long.filter("value is not null").join(q, ["measure", key])
         .groupBy("measure", key)
         .agg(
             *[F.max(c).alias(c) for c in _QUARTILES],
