@@ -116,7 +116,44 @@ QUERIES: dict[str, Query] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+_REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT {id} AS n, {id} AS r FROM {table} UNION SELECT reach.n, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a)"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+""" + _REACH.format(id="doc_id", table="documents") + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(r) FROM reach WHERE reach.n = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)""",
+    "op5_vector_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+""" + _REACH.format(id="vec_id", table="embeddings") + """,
+c AS (SELECT n AS vec_id, min(r) AS component_id FROM reach GROUP BY n)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op8_warc_index": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h HAVING count(*) > 1),
+k AS (
+  SELECT page_id, n, sha1(p.h) AS digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS kind,
+    CASE WHEN page_id <> first THEN first END AS refers_to, regexp_replace(url, '^[^:/?#]*://', '', 's') AS bare
+  FROM p LEFT JOIN f ON p.h = f.h),
+u AS (
+  SELECT *, array_to_string(list_reverse(string_split(translate(regexp_extract(bare, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '.')), ',') || ')' || regexp_extract(bare, '^[^/?#]*(.*)$', 1, 's') AS url_key,
+    strftime(TIMESTAMP '2024-01-01' + to_minutes(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+  FROM k)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, kind AS record_type, refers_to, url_key, captured_at,
+  row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS position FROM u""",
     "op7_url_filter": r"""
 WITH u AS (
   SELECT page_id, url,
