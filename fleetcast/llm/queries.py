@@ -119,7 +119,37 @@ QUERIES: dict[str, Query] = {
 _REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT {id} AS n, {id} AS r FROM {table} UNION SELECT reach.n, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a)"""
 
+def _limits_sql(buckets: int) -> str:
+    """The dynamic program over x(i, l, cum), a step a bucket; each row carries its limits so far."""
+    steps = ["d1 AS (SELECT i, l, cum, l * cum AS cost, [l] AS path FROM x)"]
+    for k in range(2, buckets + 1):
+        steps.append(
+            f"""d{k} AS (
+  SELECT p.i, p.l, p.cum, CASE WHEN s.cost < p.cost THEN s.cost ELSE p.cost END AS cost, CASE WHEN s.cost < p.cost THEN s.path ELSE p.path END AS path
+  FROM d{k - 1} p LEFT JOIN (
+    SELECT i, min(cost) AS cost, arg_min(path, cost * 100000 + j) AS path
+    FROM (SELECT x.i, q.i AS j, q.cost + x.l * (x.cum - q.cum) AS cost, list_append(q.path, x.l) AS path FROM x JOIN d{k - 1} q ON q.i < x.i)
+    GROUP BY i) s ON s.i = p.i)"""
+        )
+    return ",\n".join(steps)
+
+
 ORACLES: dict[str, str] = {
+    "op2_length_buckets": r"""
+WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS k FROM documents),
+t AS (SELECT doc_id, CASE WHEN k > 0 THEN k + 1 ELSE 0 END AS n FROM w),
+r AS (
+  SELECT doc_id, chunk, least(2048, n - chunk * 2048) AS n_tokens
+  FROM (SELECT doc_id, n, unnest(range(0, greatest(CAST(ceil(n / 2048.0) AS BIGINT), 1))) AS chunk FROM t)),
+h AS (SELECT CAST(ceil(n_tokens / 16.0) * 16 AS BIGINT) AS l, count(*) AS c FROM r WHERE n_tokens > 0 GROUP BY 1),
+x AS (SELECT row_number() OVER (ORDER BY l) AS i, l, CAST(sum(c) OVER (ORDER BY l) AS BIGINT) AS cum FROM h),
+""" + _limits_sql(packing.BUCKETS) + f""",
+lim AS (SELECT unnest(path) AS b FROM (SELECT path FROM d{packing.BUCKETS} ORDER BY i DESC LIMIT 1)),
+p AS (SELECT doc_id, chunk, n_tokens, CASE WHEN n_tokens > 0 THEN (SELECT min(b) FROM lim WHERE b >= n_tokens) END AS bucket FROM r),
+q AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, chunk) - 1 AS place, greatest(1, 32768 // bucket) AS per FROM p)
+SELECT doc_id, chunk, n_tokens, bucket, CASE WHEN bucket IS NOT NULL THEN place // per END AS batch,
+  CASE WHEN bucket IS NOT NULL THEN place % per END AS slot FROM q""",
     "op1_ngram_join": r"""
 WITH RECURSIVE dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
