@@ -59,7 +59,8 @@ TILE = (512, 1024)
 TILE_ELEMENTS = 4096
 
 _PACKED = "part long, entries binary, codes binary, rows binary"
-_ENTRY = np.dtype([("id", "<i8"), ("size", "<i4"), ("slack", "<i4"), ("band", "<i4"), ("own", "<i4")])
+_ENTRY = np.dtype([("id", "<i8"), ("size", "<i4"), ("slack", "<i2"), ("band", "u1"), ("own", "?")])
+_MOST_SLACK = (1 << 15) - 1  # less slack than there is only means fewer segments left out
 _FOUND = "kind int, a long, b long, code long, n int, slack int, band int, keep boolean, own boolean"
 _KEEP, _LARGE = 1 << 15, 1 << 14  # marks of a row beside its entry: spent; in a bucket known to be large
 
@@ -195,7 +196,7 @@ class _Index:
             code, spent = code[spent], spent[spent]
         self.codes.append(code)
         self.rows.append((len(self.entries) + spent * _KEEP).astype(np.uint16))
-        self.entries.append((own_id, size, slack, band.number, own))
+        self.entries.append((own_id, size, min(slack, _MOST_SLACK), band.number, own))
         self.n += len(code)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -278,7 +279,7 @@ def _buckets(table: pa.Table, parts: int, t: tuple[int, int]) -> pa.Table:
         y = x + step
         swap = (entry["size"][x] > entry["size"][y]) | ((entry["size"][x] == entry["size"][y]) & (entry["id"][x] > entry["id"][y]))
         s, r = np.where(swap, y, x), np.where(swap, x, y)
-        good = keep[r] & (entry["own"][s] == 1) & (entry["id"][s] != entry["id"][r])
+        good = keep[r] & entry["own"][s] & (entry["id"][s] != entry["id"][r])
         good &= entry["size"][s].astype(np.int64) * t[1] >= entry["size"][r].astype(np.int64) * t[0]
         small.append(entry["id"][s[good]])
         larger.append(entry["id"][r[good]])
