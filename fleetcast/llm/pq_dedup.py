@@ -1,11 +1,12 @@
 """Near-duplicate vectors by product quantisation with inverted lists and exact rerank.
 
-A coarse quantiser deals unit vectors to inverted lists; residuals get one code per subspace. A vector
-probes the lists of its nearest centroids. In a list, a query's table of products with all subspace
-codewords gives its approximate cosine to each member; with the member's own coding error added this
-never falls below the true cosine, so no pair of a probed list is lost. Pairs over the limit are
-compared in double precision. What can be missed is a partner whose list is not probed; recall is
-measured in the tests.
+A coarse quantiser deals unit vectors to inverted lists; residuals get one code per subspace. Partners
+are at most r = sqrt(2 - 2 limit) apart, so if they are in different lists, one of them is within r / 2 of
+the plane between the two centroids. A vector probes every list to whose plane it is that near: each
+pair is met from one side at least, whatever the number of lists. In a list, a query's table of
+products with all subspace codewords gives its approximate cosine to each member; with the member's
+own coding error added this never falls below the true cosine. Pairs over the limit are compared in
+double precision. No link is lost; ``probes`` caps the lists of a vector where speed counts more.
 
 Counts are added up and links turned into spanning forests inside the tasks, so pairs are never
 written. Equal vectors are one class and are compared once. Large lists are cut into blocks and
@@ -35,7 +36,6 @@ LIMIT = 0.9
 SAMPLE = 1 << 16
 LIST_VECTORS = 256
 MOST_LISTS = 1 << 12
-PROBES = 12
 SUBSPACES = 16
 CODEWORDS = 256
 ROUNDS = 8
@@ -43,7 +43,8 @@ ROUNDS = 8
 TILE = (1024, 1024)
 
 _SLACK = 1e-5  # of single precision
-_CODED = "list int, probe boolean, home int, class long, copies long, vector binary, code binary, error float, probes binary"
+_SIZES = "list int, nq long, nx long"
+_CODED = "list int, probe boolean, home int, class long, copies long, vector binary, code binary, error float, reach binary"
 _FOUND = "class long, links long, root long"
 
 
@@ -94,10 +95,21 @@ class Quantiser:
         width = -(-x.shape[1] // m)
         return np.pad(x, ((0, 0), (0, m * width - x.shape[1]))).reshape(len(x), m, width)
 
-    def nearest(self, unit: np.ndarray, probes: int) -> np.ndarray:
-        """Lists by falling cosine of their centroids, ties by number."""
+    def reach(self, unit: np.ndarray, limit: float, probes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Home list of each vector (nearest centroid, ties by number), and for each list whether it is probed."""
         cosine = unit.astype(np.float32) @ self.centres.T
-        return np.argsort(-cosine, axis=1, kind="stable")[:, :probes].astype(np.int32)
+        home = cosine.argmax(axis=1).astype(np.int32)
+        own = self.centres[home]
+        square = (self.centres * self.centres).sum(axis=1)
+        apart = np.sqrt(np.maximum(square[home][:, None] + square[None, :] - 2 * own @ self.centres.T, 0) + 1e-6)
+        near = cosine[np.arange(len(unit)), home][:, None] - cosine <= np.sqrt((1 - limit) / 2) * apart + _SLACK
+        if probes is not None and probes < len(self.centres):
+            best = np.argsort(-cosine, axis=1, kind="stable")[:, :probes]
+            kept = np.zeros_like(near)
+            np.put_along_axis(kept, best, True, axis=1)
+            near &= kept
+        near[np.arange(len(unit)), home] = True
+        return home, near
 
     def encode(self, unit: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the length of what they leave out."""
@@ -146,7 +158,7 @@ def _tile(table: pa.Table, quantiser: Quantiser, d: int, kind: type, limit: floa
             "unit": _units(joined("vector", kind), d) if len(rows) else None,
         }
         if name == "x" and len(rows):
-            side[name] |= {"error": own.column("error").to_numpy(), "code": joined("code", np.uint8).reshape(len(rows), -1), "probes": joined("probes", np.int32).reshape(len(rows), -1)}
+            side[name] |= {"error": own.column("error").to_numpy(), "code": joined("code", np.uint8).reshape(len(rows), -1), "reach": joined("reach", np.uint8).reshape(len(rows), -1)}
     q, x = side["q"], side["x"]
     none = np.zeros(0, np.int64)
     if not len(q["id"]) or not len(x["id"]):
@@ -162,7 +174,7 @@ def _tile(table: pa.Table, quantiser: Quantiser, d: int, kind: type, limit: floa
     ids, homes = q["id"][i], q["home"][i]
     found = (linked * x["copies"][j][None, :]).sum(axis=1)
     # a member that does not probe the query's list would never learn of the link
-    away = linked & ~(x["probes"][j][None, :, :] == homes[:, None, None]).any(axis=2) if (homes != here).any() else np.zeros_like(linked)
+    away = linked & (x["reach"][j][:, homes // 8].T >> (7 - homes % 8)[:, None] & 1 == 0)
     back = (away * q["copies"][i][:, None]).sum(axis=0)
     node, root = forest(linked, ids, x["id"][j])
     counts_id, counts = np.concatenate([ids, x["id"][j]]), np.concatenate([found, back])
@@ -174,7 +186,7 @@ def _rows(ids: np.ndarray, links: np.ndarray, roots: np.ndarray) -> pa.Table:
     return pa.table({"class": pa.array(ids, pa.int64()), "links": pa.array(links.astype(np.int64)), "root": pa.array(roots, pa.int64())})
 
 
-def _search(classes: DataFrame, d: int, limit: float, probes: int) -> DataFrame:
+def _search(classes: DataFrame, d: int, limit: float, probes: int | None) -> DataFrame:
     """class, links, root rows of all tiles, for the classes (class, copies, v) of one length."""
     n = classes.count()
     lists = int(min(MOST_LISTS, max(1, n // LIST_VECTORS)))
@@ -183,34 +195,47 @@ def _search(classes: DataFrame, d: int, limit: float, probes: int) -> DataFrame:
     taken = sample.select("class", "v").toArrow()  # about SAMPLE rows
     unit = _units(taken.column("v").combine_chunks().flatten().to_numpy(), d)[np.argsort(taken.column("class").to_numpy())]
     quantiser = Quantiser.fit(unit, min(lists, len(unit)))
-    lists = len(quantiser.centres)
-    probes = min(probes, lists)
     sent = classes.sparkSession.sparkContext.broadcast(quantiser)
     kind = np.float32 if classes.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
     columns = [c.split()[0] for c in _CODED.split(", ")]
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
-                unit = _units(flat, d)
-                near = fitted.nearest(unit, probes)
-                codes, errors = fitted.encode(unit, near[:, 0])
-                m = len(unit)
-                packed = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-                both = {"class": batch.column("class"), "copies": batch.column("copies"), "home": pa.array(near[:, 0]), "vector": packed(flat)}
-                yield pa.record_batch(
-                    {"list": pa.array(near[:, 0]), "probe": pa.array(np.zeros(m, bool))} | both | {"code": packed(codes), "error": pa.array(errors), "probes": packed(near)}
-                ).select(columns)
-                for k in range(near.shape[1]):
-                    bare = {"code": pa.nulls(m, pa.binary()), "error": pa.nulls(m, pa.float32()), "probes": pa.nulls(m, pa.binary())}
-                    yield pa.record_batch({"list": pa.array(near[:, k]), "probe": pa.array(np.ones(m, bool))} | both | bare).select(columns)
+                yield batch, flat, _units(flat, d)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = sent.value
+        nq, nx = np.zeros((2, len(fitted.centres)), np.int64)
+        for _, _, unit in units(batches):
+            home, near = fitted.reach(unit, limit, probes)
+            nq += near.sum(axis=0)
+            nx += np.bincount(home, minlength=len(nx))
+        yield pa.record_batch({"list": pa.array(np.arange(len(nx), dtype=np.int32)), "nq": pa.array(nq), "nx": pa.array(nx)})
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = sent.value
+        for batch, flat, unit in units(batches):
+            home, near = fitted.reach(unit, limit, probes)
+            codes, errors = fitted.encode(unit, home)
+            packed = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+            both = pa.record_batch({"class": batch.column("class"), "copies": batch.column("copies"), "home": pa.array(home), "vector": packed(flat)})
+            rows = dict(zip(both.schema.names, both.columns, strict=True))
+            members = {"list": pa.array(home), "probe": pa.array(np.zeros(len(home), bool))} | rows
+            yield pa.record_batch(members | {"code": packed(codes), "error": pa.array(errors), "reach": packed(np.packbits(near, axis=1))}).select(columns)
+            row, to = np.nonzero(near)
+            for a in range(0, len(row), 8192):
+                some = both.take(pa.array(row[a : a + 8192]))
+                m = some.num_rows
+                bare = {"code": pa.nulls(m, pa.binary()), "error": pa.nulls(m, pa.float32()), "reach": pa.nulls(m, pa.binary())}
+                head = {"list": pa.array(to[a : a + 8192].astype(np.int32)), "probe": pa.array(np.ones(m, bool))}
+                yield pa.record_batch(head | dict(zip(some.schema.names, some.columns, strict=True)) | bare).select(columns)
 
     coded = classes.select("class", "copies", "v").mapInArrow(code, _CODED)
     # one row a list; a list's blocks follow its size
-    sizes = stage(coded.groupBy("list").agg(F.sum(F.col("probe").cast("int")).alias("nq"), F.sum((~F.col("probe")).cast("int")).alias("nx")))
+    sizes = stage(classes.select("v").mapInArrow(count, _SIZES).groupBy("list").agg(F.sum("nq").alias("nq"), F.sum("nx").alias("nx")))
     blocks = F.broadcast(
         sizes.filter("nx > 0").select("list", F.ceil(F.col("nq") / TILE[1]).cast("int").alias("qb"), F.ceil(F.col("nx") / TILE[0]).cast("int").alias("xb"))
     )  # at most MOST_LISTS rows
@@ -222,7 +247,7 @@ def _search(classes: DataFrame, d: int, limit: float, probes: int) -> DataFrame:
     return tiles.groupBy("list", "i", "j").applyInArrow(lambda t: _tile(t, sent.value, d, kind, limit), _FOUND)
 
 
-def near_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", limit: float = LIMIT, probes: int = PROBES) -> DataFrame:
+def near_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", limit: float = LIMIT, probes: int | None = None) -> DataFrame:
     """One row per row: vec_id, n_links (other vectors linked), component_id (smallest linked id) and kept."""
     plain = _clean(input_columns(rows, vec_id=vec_id, v=vector)).withColumn("sound", F.col("sound") & F.col("vec_id").isNotNull())
     key = F.when(F.col("sound"), F.xxhash64("v"))

@@ -166,6 +166,25 @@ def test_vector_recall_with_many_lists(spark):
     assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.9 * true.sum() > 1000
 
 
+def test_vector_recall_of_a_hot_group(spark, monkeypatch):
+    """Half of the vectors are different near copies, dealt to 50 or more lists: the registered default finds every link."""
+    rng = np.random.default_rng(11)
+    n, hot, d = 6_000, 3_000, 64
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    centre = x[0] + np.float32(0.3) * rng.normal(size=(100, d)).astype(np.float32)
+    x[:hot] = np.repeat(centre, hot // 100, axis=0) + np.float32(0.1) * x[:hot]
+    rng.shuffle(x)
+    fitted, fit = [], pq_dedup.Quantiser.fit
+    monkeypatch.setattr(pq_dedup, "LIST_VECTORS", 32)  # as many lists as 48 000 vectors have
+    monkeypatch.setattr(pq_dedup.Quantiser, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = dict(map(tuple, pq_dedup.near_vectors(rows).select("vec_id", "n_links").collect()))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (u @ u.T >= pq_dedup.LIMIT).sum(axis=1) - 1
+    assert len(np.unique((u @ fitted[0].centres.T).argmax(axis=1)[true > 100])) >= 50 and true.sum() > 10**5
+    assert [got[i] for i in range(n)] == true.tolist()
+
+
 def test_maximal_segments_by_definition():
     """Every maximal segment: all its proper parts score less, and no larger segment has that property."""
     rnd = random.Random(9)
