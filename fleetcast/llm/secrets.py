@@ -50,6 +50,9 @@ CLASSES = (
     CharClass("letters and digits", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.7),
     CharClass("base64", re.compile(r"[A-Za-z0-9+/=]{28,}"), 28, 4.0),
     CharClass("url-safe base64", re.compile(r"[A-Za-z0-9_=-]{28,}"), 28, 4.0),
+    # from the candidate minimum on: the limit is the same share of the most that a window can have
+    CharClass("short base64", re.compile(r"[A-Za-z0-9+/=]{20,}"), 20, 4.0 * math.log2(20) / math.log2(28)),
+    CharClass("short url-safe base64", re.compile(r"[A-Za-z0-9_=-]{20,}"), 20, 4.0 * math.log2(20) / math.log2(28)),
 )
 
 ALLOWED = (

@@ -186,6 +186,24 @@ def test_secret_patterns_and_entropy(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_bare_base64_keys_of_128_bits():
+    """Keys of 24 characters with + and / (or - and _) between letters and digits: found up to the last of 22 characters at least."""
+    import base64
+
+    rnd = random.Random(4)
+    for code in (base64.b64encode, base64.urlsafe_b64encode):
+        keys = []
+        while len(keys) < 300:
+            key = code(rnd.randbytes(16)).decode()
+            if any(c in key[6:18] for c in "+/-_") and not any(p.fullmatch(key) for p in secrets.ALLOWED):
+                keys.append(key)
+        found = [secrets.secret_spans(f"the key {k} is here") for k in keys]
+        assert sum(bool(f) for f in found) >= 0.99 * len(keys)
+        assert all(f == [] or (f[0][2] == "entropy" and f[0][0] <= 12 and f[-1][1] >= 28) for f in found)
+    for plain in ("src/main/resources/templates", "some-long-slug-with-words-2024", "2024-01-01/2024-01-02/2024", "aaaa/bbbb1aaaa/bbbb1aaaa"):
+        assert secrets.secret_spans(plain) == []
+
+
 def test_entropy_windows_by_definition():
     rnd = random.Random(1)
     for _ in range(50):
