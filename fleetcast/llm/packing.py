@@ -15,9 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcast.llm.pieces import encoder
+from fleetcast.llm.words import slices, text_bytes
 from fleetcast.operators.ordered import CHUNK, POS, order_chunks, with_index
 from fleetcast.session import stage
 
@@ -33,6 +36,23 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(words, F.lit(0)) > 0, words + 1).otherwise(0).cast("long")
 
 
+def token_count(text: Column, vocabulary: str) -> Column:
+    """Tokens of the vocabulary, plus one for the end of the text; empty texts have none."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        words, out = encoder(vocabulary), []
+        for part in slices(pa.record_batch({"text": texts}), "text"):
+            raw, at = text_bytes(part.column("text"))
+            start, slot = words.pieces(raw, at)
+            total = np.concatenate([[0], np.cumsum(words.counts(slot))])
+            many = np.diff(total[np.searchsorted(start, at)])
+            out.append(many + (many > 0))
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *out]), pa.int64())
+
+    count.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(count, "long")(text)
+
+
 def best_limits(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
     """Upper limits of at most ``buckets`` buckets over distinct rounded ``lengths`` (ascending) with the least padded tokens."""
     size = np.asarray(lengths, np.int64)

@@ -43,6 +43,12 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.word_count(F.col("text")))
 
 
+def op2_token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packing over the tokens of the vocabulary, and one for the end id of a text that has any."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.token_count(F.col("text"), public_tokenizers.path(BYTE_BPE)), tie=F.xxhash64("text"))
+
+
 def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts before and after all mail addresses and long numbers are redacted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,6 +112,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_length_buckets": op2_length_buckets,
+    "op2_token_buckets": op2_token_buckets,
     "op3_edit_counts": op3_edit_counts,
     "op4_toxicity": op4_toxicity,
     "op5_vector_dedup": op5_vector_dedup,

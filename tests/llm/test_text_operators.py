@@ -265,5 +265,32 @@ def test_packing_keeps_every_token(spark, docs):
     assert packing.pack(docs.limit(0), packing.word_count(F.col("text"))).count() == 0
 
 
+def test_token_buckets_count_tokens(spark, docs, monkeypatch):
+    """Lengths are those of the library, also of a long text without blanks."""
+    from fleetcast.llm import queries
+
+    rnd = random.Random(2)
+    bare = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(9000))
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(50, bare), (51, "日本語" * 900)], "doc_id long, text string"))
+    for df in (more, corpus(spark)):
+        monkeypatch.setattr(queries, "table", lambda *a, df=df: df)
+        want = {}
+        t = brute.tokenizer()
+        for r in df.collect():
+            n = len(t.encode(r.text or "", add_special_tokens=False).ids)
+            want[r.doc_id] = want.get(r.doc_id, 0) + n + (n > 0)
+        rows = queries.QUERIES["op2_token_buckets"](spark, "").collect()
+        got = {}
+        for r in rows:
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+            assert r.n_tokens <= (r.bucket or 0) <= packing.CONTEXT
+        assert got == want
+    sizes = {}
+    for r in rows:
+        if r.bucket:
+            sizes[r.bucket, r.batch] = sizes.get((r.bucket, r.batch), 0) + r.n_tokens
+    assert max(sizes.values()) <= packing.BUDGET
+
+
 def test_row_without_text_column_types():
     assert token_files.TokenFile.open(token_files._file(__import__("numpy").array([5, 2], "uint16"), pa.table({"doc_id": [1], "n_tokens": [2]}), 0, 0, 4)).tokens == 2
