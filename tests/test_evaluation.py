@@ -260,3 +260,31 @@ def test_winner_and_best_by_horizon(spark):
     best = {r["horizon_h"]: (r["model"], r["pr_auc_test"]) for r in models.best_by_horizon({6: told, 12: other}).collect()}
     assert best == {6: ("logreg", 0.9), 12: ("boosting", 0.7)}
     assert models.evaluate(models.fit_classifier(train, f, "logreg", logreg_iter=5), test).first()["model"] == "logreg"
+
+
+def test_full_size_model_queries(spark, monkeypatch):
+    """The comparison and the search are registered and pass no smaller sizes than the declared ones."""
+    from fleetcast.operators import models
+    from fleetcast.queries import learning, registered
+
+    asked = []
+
+    def compare(train, test, features, *names, **sizes):
+        asked.append((features.label, names, sizes))
+        one = learning.F.lit(1.0)
+        names = "model pr_auc_test roc_auc_test precision recall f1 tn fp fn tp".split()
+        return spark.range(1).select(*[one.alias(c) for c in names])
+
+    def search(train, features, us, ties, trials, *k):
+        asked.append((train.count(), trials, k))
+        return [{"trial": i, "params": p, "pr_auc_cv_mean": 0.5, "pr_auc_cv_std": 0.0, "roc_auc_cv_mean": 0.5, "roc_auc_cv_std": 0.0} for i, p in enumerate(trials)]
+
+    monkeypatch.setattr(learning, "compare_models", compare)
+    monkeypatch.setattr(learning, "search", search)
+    sf = "/root/testdata/sf0.001"
+    assert registered()["ml_compare"](spark, sf).count() == len(learning.LOG.horizons_h)
+    assert asked == [(f"label_incident_{h}h", (), {}) for h in learning.LOG.horizons_h]
+    asked.clear()
+    assert registered()["ml_search"](spark, sf).count() == 50
+    train = learning.split_part(learning.matrix(spark, sf), "train").count()
+    assert asked == [(train, models.suggest(50), ())] and "ml_refit" in registered()
