@@ -5,7 +5,7 @@ unlisted keys of the corpus that pass it in a second one, the listed keys that p
 a third, and so on until none is left over. As it is built over *all* keys of the corpus, a
 look-up in it is exact for every row, and rows are never joined with the list.
 
-Null and malformed urls have an empty host and path; they are keys like any other.
+Null and malformed urls have an empty host and path; that key is never listed.
 """
 
 from __future__ import annotations
@@ -209,12 +209,13 @@ def judge_urls(
     The verdict is the longest fitting rule's. Where none fits, a page is blocked if its host and
     path are listed as a crawler trap: a key that the corpus has under ``trap_variants`` or more
     different urls (session ids, tracking parameters). The list grows with the corpus and is looked
-    up in a cascade. Columns of ``pages`` named like a result are replaced.
+    up in a cascade. Urls without host and path (null, no scheme) are no trap, however many there are. Columns of ``pages`` named like a result are replaced.
     """
     base = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     # distinct urls first: the copies of a hot url meet on the map side
     urls = base.select("host", "path", F.col(url).alias("_u")).distinct()
     keys = urls.groupBy("host", "path").agg((F.count("_u") >= trap_variants).alias("trap"))
+    keys = keys.withColumn("trap", F.col("trap") & ((F.col("host") != "") | (F.col("path") != "")))
     cascade = build_cascade(keys, F.col("trap"), F.col("host"), F.col("path"))
     found = with_membership(base, cascade, [F.col("host"), F.col("path")], "_trap")
     rule, verdict = match_rule(rules, F.col("host"), F.col("path"))

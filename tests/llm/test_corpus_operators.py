@@ -185,6 +185,13 @@ def test_vector_recall_of_a_hot_group(spark, monkeypatch):
     assert [got[i] for i in range(n)] == true.tolist()
 
 
+def test_malformed_urls_are_no_trap(spark):
+    urls = [None, "", "no scheme", "broken", "www.example.org/x", "also broken", *(f"http://a.example.invalid/t?s={k}" for k in range(3))]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_cascade.judge_urls(df, queries.URL_RULES).collect()}
+    assert [got[k] for k in range(9)] == ["allow"] * 6 + ["block"] * 3
+
+
 def test_maximal_segments_by_definition():
     """Every maximal segment: all its proper parts score less, and no larger segment has that property."""
     rnd = random.Random(9)
