@@ -21,12 +21,12 @@ def column_types(df: DataFrame) -> DataFrame:
 def build_contract(tables: Mapping[str, DataFrame], *, counts: bool = False) -> DataFrame:
     """Columns of several tables: (source, column, type, non_null, n_unique).
 
-    Names and types come from the schemas, without a scan; ``counts`` adds one pass of sketches.
+    Names and types come from the schemas, without a scan; ``counts`` adds the exact counts of a profile.
     """
     out = None
     for name, df in tables.items():
         if counts:
-            told = profile(df, approximate=True)
+            told = profile(df)
         else:
             nothing = F.lit(None).cast("long")
             told = column_types(df).withColumns({"non_null": nothing, "n_unique": nothing})

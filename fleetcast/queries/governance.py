@@ -72,7 +72,7 @@ def _sources_sql(**selects: str) -> str:
 def schema_drift(spark, sf):
     events, nation, region = (read_table(spark, sf, t) for t in ("events", "nation", "region"))
     path = new_path(scratch_dir(spark), "contract")
-    save_contract(build_contract({"events": events, "nation": nation}), path)
+    save_contract(build_contract({"events": events, "nation": nation}, counts=True), path)
     return drift(load_contract(spark, path), build_contract({"events": _changed(events), "region": region}))
 
 

@@ -288,3 +288,18 @@ def test_full_size_model_queries(spark, monkeypatch):
     assert registered()["ml_search"](spark, sf).count() == 50
     train = learning.split_part(learning.matrix(spark, sf), "train").count()
     assert asked == [(train, models.suggest(50), ())] and "ml_refit" in registered()
+
+
+def test_saved_contract_has_counts(spark, monkeypatch):
+    from fleetcast.queries import governance
+
+    saved, save = [], governance.save_contract
+    monkeypatch.setattr(governance, "save_contract", lambda contract, path: (saved.append(path), save(contract, path)))
+    sf = "/root/testdata/sf0.001"
+    assert governance.schema_drift(spark, sf).count() > 0
+    got = {(r.source, r.column): (r.non_null, r.n_unique) for r in governance.load_contract(spark, saved[0]).collect()}
+    for name in ("events", "nation"):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        for c in df.columns:
+            assert got.pop((name, c)) == (df.filter(df[c].isNotNull()).count(), df.select(c).distinct().dropna().count())
+    assert not got
