@@ -19,12 +19,13 @@ def row_bytes(schema: T.StructType, text: int = 64) -> int:
     return 16 + sum(text if isinstance(f.dataType, wide) else 16 for f in schema)
 
 
-def measured_join(big: DataFrame, small: DataFrame, on, how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+def measured_join(big: DataFrame, small: DataFrame, on, how: str, limit: int = BROADCAST_BYTES, row_width: int | None = None) -> DataFrame:
     """Join with ``small`` broadcast only if it is counted to fit; a shuffle join beyond.
 
-    ``small`` should be staged, since it is counted first. AQE splits skewed keys of the shuffle join.
+    ``small`` should be staged, since it is counted first. ``row_width`` gives the bytes of a row where they are
+    known better than from the schema. AQE splits skewed keys of the shuffle join.
     """
-    fits = small.count() * row_bytes(small.schema) <= limit
+    fits = small.count() * (row_width or row_bytes(small.schema)) <= limit
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 

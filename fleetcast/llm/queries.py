@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcast.llm import decontaminate, edit_counts, ngram_join, packing, pq_dedup, secrets, token_files, toxicity, url_cascade, warc
+from fleetcast.llm import alignment, decontaminate, edit_counts, ngram_join, packing, periodic_runs, pq_dedup, secrets, sharding, token_files, toxicity, url_cascade, warc
 from fleetcast.llm.frames import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ URL_RULES = (
 
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+SHARDS = 40
 END_ID = 2
 TOXIC_FROM = 0.7
 
@@ -109,6 +111,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_summary(found)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_groups(docs, SHARDS)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.periodic_runs(docs, seed=F.crc32(F.col("doc_id").cast("string")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_length_buckets": op2_length_buckets,
@@ -121,6 +138,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc_index": op8_warc_index,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
+    "op11_sharding": op11_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_alignment": op13_alignment,
 }
 
 _REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
