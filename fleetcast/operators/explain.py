@@ -1,12 +1,15 @@
-"""Feature importance: linear attributions, permutation importance, tables and comparisons."""
+"""Feature importance: exact attributions of linear and tree models, permutation importance, tables and comparisons."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcast.operators.boosting import Tree, TreeModel
 from fleetcast.operators.evaluate import average_precision
 from fleetcast.operators.models import SCORE, Fitted
 from fleetcast.operators.ordered import IDX, number_order
@@ -33,8 +36,11 @@ def linear_attributions(
 
 def importance_table(attributions: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature and its share (0 when all are 0), largest first."""
-    table = attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"))
-    # one row per feature
+    return _shared(attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs")))
+
+
+def _shared(table: DataFrame) -> DataFrame:
+    """Add the share of each feature (0 when all are 0); the table has one row per feature."""
     total = F.sum("mean_abs").over(Window.partitionBy(F.lit(0)))
     share = F.when(total > 0, F.col("mean_abs") / total).otherwise(0.0)
     return table.withColumn("importance_share", share).orderBy(F.desc("mean_abs"), "feature")
@@ -98,3 +104,104 @@ def permutation_importance(fitted: Fitted, df: DataFrame, order: list[str], seed
         ap = average_precision(fitted.score(shuffled), label, SCORE).first()["average_precision"]
         out.append((feature, float(base - ap)))
     return df.sparkSession.createDataFrame(out, "feature string, attribution double")
+
+
+# --- attributions of trees ---------------------------------------------------------------------
+
+#: up to this many columns on a path, attributions of all patterns of met conditions are tabled
+_TABLED = 8
+
+
+class Paths:
+    """Paths of a tree's leaves: per leaf the codes that each column may have, and the share of cover behind each."""
+
+    def __init__(self, tree: Tree):
+        self.leaves: list[tuple[float, list[int], list[int], list[int], np.ndarray]] = []
+        stack: list[tuple[int, dict[int, tuple[int, int, float]]]] = [(0, {})]
+        while stack:
+            node, held = stack.pop()
+            c = int(tree.column[node])
+            if c < 0:
+                ranges = list(held.values())
+                cols, low, high = list(held), [r[0] for r in ranges], [r[1] for r in ranges]
+                self.leaves.append((float(tree.value[node]), cols, low, high, np.array([r[2] for r in ranges])))
+                continue
+            a, b, share = held.get(c, (-1, 256, 1.0))
+            left, cut = int(tree.left[node]), int(tree.bin[node])
+            for child, bounds in ((left, (a, min(b, cut))), (left + 1, (max(a, cut), b))):
+                stack.append((child, {**held, c: (*bounds, share * float(tree.cover[child] / tree.cover[node]))}))
+
+    @property
+    def base(self) -> float:
+        """Mean of the leaves under the covers."""
+        return sum(v * float(np.prod(z)) for v, _, _, _, z in self.leaves)
+
+
+def _shares(met: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1 for rows of met conditions (rows x columns of the path).
+
+    The weight of a coalition of k of d columns is the integral of t**k (1 - t)**(d - 1 - k), so the value of column i
+    is (met_i - z_i) times the integral of the product of met_j t + z_j (1 - t) over the other columns: a
+    polynomial, which Gauss-Legendre points integrate exactly.
+    """
+    d = met.shape[1]
+    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    out = np.zeros(met.shape)
+    for t, w in zip((points + 1) / 2, weights / 2, strict=True):
+        factor = met * t + z * (1 - t)
+        out += w * factor.prod(axis=1, keepdims=True) / factor
+    return out * (met - z)
+
+
+def tree_shapley(trees: Sequence[Tree], codes: np.ndarray, paths: Sequence[Paths] | None = None) -> tuple[np.ndarray, float]:
+    """Attributions of each row to each column, and the base; both add up to the margin."""
+    out, base = np.zeros(codes.shape), 0.0
+    for part in paths or [Paths(t) for t in trees]:
+        base += part.base
+        for value, cols, low, high, z in part.leaves:
+            if not cols or value == 0.0:
+                continue
+            met = np.stack([(codes[:, c] > a) & (codes[:, c] <= b) for c, a, b in zip(cols, low, high, strict=True)], axis=1)
+            d = len(cols)
+            if d <= _TABLED:
+                patterns = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+                out[:, cols] += value * _shares(patterns.astype(float), z)[met @ (1 << np.arange(d))]
+            else:
+                out[:, cols] += value * _shares(met.astype(float), z)
+    return out, base
+
+
+def tree_attributions(df: DataFrame, model: TreeModel, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: ``keep``, the margin, the base and one attribution per column of the codes (``model.bins.names``)."""
+    columns = [*model.bins.limits, *model.bins.levels]
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = [Paths(t) for t in model.trees]
+        for batch in batches:
+            codes = model.bins.codes(batch)
+            phi, base = tree_shapley(model.trees, codes, paths)
+            n, width = phi.shape
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(phi.ravel()))
+            made = [batch.column(batch.schema.get_field_index(f"_keep_{c}")) for c in keep]
+            yield pa.record_batch([*made, pa.array(model.margins(codes)), pa.array(np.full(n, base)), listed], names=[*keep, "margin", "base", "attributions"])
+
+    rows = df.select(*columns, *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.mapInArrow(explain, f"{kinds}margin double, base double, attributions array<double>")
+
+
+def tree_importance(df: DataFrame, model: TreeModel) -> DataFrame:
+    """Importance table of the rows' attributions: absolute values are added up per batch, then merged."""
+    columns, names = [*model.bins.limits, *model.bins.levels], model.bins.names
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = [Paths(t) for t in model.trees]
+        total, n = np.zeros(len(names)), 0
+        for batch in batches:
+            phi, _ = tree_shapley(model.trees, model.bins.codes(batch), paths)
+            total, n = total + np.abs(phi).sum(axis=0), n + len(phi)
+        yield pa.record_batch([pa.array(names, pa.string()), pa.array(total), pa.array(np.full(len(names), n))], names=["feature", "total", "n"])
+
+    sums = df.select(*columns).mapInArrow(add_up, "feature string, total double, n long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    # one row per feature
+    return _shared(sums.select("feature", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("mean_abs")))

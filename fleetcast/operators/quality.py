@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.operators.ordered import carry_over, chunk_window, join_carry, quantiles
-from fleetcast.operators.reshape import long_rows, measures_long
+from fleetcast.operators.ordered import carry_over, chunk_window, join_carry
+from fleetcast.operators.radix import column_quantiles
+from fleetcast.operators.reshape import long_rows
 from fleetcast.operators.stats import null_cells
 from fleetcast.operators.timeline import with_position
 from fleetcast.roles import (
@@ -115,26 +116,16 @@ def fit_constants(df: DataFrame, cols: Sequence[str], strategy: str = "median")
         return {c: row[c] for c in cols}
     if strategy != "median":
         raise ValueError(f"unknown strategy {strategy!r}, expected 'median' or 'mean'")
-    got = quantiles(measures_long(df, cols), ["measure"], "value", {"mid": 0.5}).collect()
-    found = {r["measure"]: r["mid"] for r in got}
-    return {c: found.get(c) for c in cols}
-
-
-def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = IQR_FACTOR) -> DataFrame:
-    """Tukey bounds per column from exact quartiles: one row per column."""
-    q = quantiles(measures_long(df, cols), ["measure"], "value", {"q1": 0.25, "q3": 0.75})
-    iqr = F.col("q3") - F.col("q1")
-    return q.select(
-        "measure",
-        (F.col("q1") - k * iqr).alias("low"),
-        (F.col("q3") + k * iqr).alias("high"),
-    )
+    return {c: q["mid"] for c, q in column_quantiles(df, cols, {"mid": 0.5}).items()}
 
 
 def _bounds(df: DataFrame, cols: Sequence[str], k: float) -> dict[str, tuple]:
-    """Bounds as scalars (one pair per column), so that they fold into the flag expressions."""
-    found = {r["measure"]: (r["low"], r["high"]) for r in outlier_bounds(df, cols, k).collect()}
-    return {c: found.get(c, (None, None)) for c in cols}
+    """Tukey bounds from exact quartiles, as scalars (one pair per column), so that they fold into the flag expressions."""
+    out = {}
+    for c, q in column_quantiles(df, cols, {"q1": 0.25, "q3": 0.75}).items():
+        q1, q3 = q["q1"], q["q3"]
+        out[c] = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    return out
 
 
 def _outside(c: str, low, high) -> Column:

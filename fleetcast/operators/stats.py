@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcast.operators.ordered import average_ranks, quantiles
+from fleetcast.operators.radix import column_quantiles
 from fleetcast.operators.reshape import long_rows, measures_long
 from fleetcast.roles import PII_PATTERNS
 
@@ -21,9 +22,11 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     # one row of all moments: columns are not turned into rows before they are aggregated
     wide = df.agg(*[fn(F.col(c).cast("double")).alias(f"{kind}_{i}") for i, c in enumerate(cols) for kind, fn in kinds.items()])
-    moments = long_rows(wide, {c: {kind: F.col(f"{kind}_{i}") for kind in kinds} for i, c in enumerate(cols)}, "measure")
-    q = quantiles(measures_long(df, cols), ["measure"], "value", _QUARTILES).drop("n")
-    return moments.join(q, "measure", "left")
+    found = column_quantiles(df, cols, _QUARTILES)
+    facts = {
+        c: {**{kind: F.col(f"{kind}_{i}") for kind in kinds}, **{q: F.lit(found[c][q]).cast("double") for q in _QUARTILES}} for i, c in enumerate(cols)
+    }
+    return long_rows(wide, facts, "measure")
 
 
 def group_means(df: DataFrame, keys: Sequence[str | Column], cols: Sequence[str]) -> DataFrame:

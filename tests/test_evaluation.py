@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
+from dataclasses import asdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,131 +165,166 @@ def test_importance_comparison(spark):
 # --- classifiers ---------------------------------------------------------------------------------
 
 
-def gold_like(spark):
-    rows = []
-    for m, code in ((1, "X1"), (2, "X2")):
-        for k in range(20):
-            split = "train" if k < 12 else "val" if k < 16 else "test"
-            rows.append((m * 100 + k, m, code, None if k == 0 else 40.0 + k / 2, 190.0 + k, float(20 - k), 0,
-                         int(k % 4 == 3), int(k % 3 == 2), split, k * 3_600_000_000 + m))
-    return spark.createDataFrame(
-        rows,
-        "id int, machine_pk int, model string, mean_6h double, mean_24h double, rul_hours double, rul_censored int, "
-        "label_incident_24h int, label_incident_48h int, split string, us long",
-    )
+LEAKS = ["id", "well", "part", "us", "days_left"]
 
 
-EXCLUDED = ["id", "machine_pk", "split", "us", "rul_hours", "rul_censored", "label_incident_48h"]
+def wells(spark):
+    """Three wells for thirty days: one runs dry where much is drawn from a low level; two readings are missing."""
+    rng = random.Random(23)
+    rows = []
+    for day in range(30):
+        for number, lining in enumerate(("clay", "brick", "clay")):
+            drawn = None if day % 11 == 5 and number == 1 else round(rng.uniform(1, 9), 2)
+            level = rng.gauss(20, 4) - day / 6
+            dry = int(2 * (drawn or 5.0) - level + 9 + rng.gauss(0, 2) > 0)
+            part = "train" if day < 18 else "val" if day < 24 else "test"
+            rows.append((100 * day + number, f"W{number}", lining, drawn, level, 30.0 - day, dry, part, day * 86_400_000_000 + number))
+    return spark.createDataFrame(rows, "id int, well string, lining string, drawn_7d double, level double, days_left double, dry int, part string, us long")
 
 
 def features(df):
-    numeric, categorical = column_roles(df, "label_incident_24h", EXCLUDED, ["model", "shift"])
-    return models.Features(tuple(numeric), tuple(categorical), "label_incident_24h")
+    numeric, categorical = column_roles(df, "dry", LEAKS, ["lining", "shift"])
+    return models.Features(tuple(numeric), tuple(categorical), "dry")
+
+
+def parts(spark):
+    df = wells(spark)
+    return df.filter("part = 'train'"), df.filter("part <> 'train'"), features(df)
 
 
 def test_no_leak_among_features(spark):
-    f = features(gold_like(spark))
-    assert f.numeric == ("mean_6h", "mean_24h") and f.categorical == ("model",)
+    f = features(wells(spark))
+    assert f.numeric == ("drawn_7d", "level") and f.categorical == ("lining",)
 
 
 def test_imputation_is_fitted_on_train_only(spark):
-    df = gold_like(spark)
-    fitted = models.fit_imputation(df.filter("split = 'train'"), features(df))
-    assert fitted.medians["mean_6h"] == pytest.approx(43.0)
-    assert fitted.apply(df).filter("mean_6h is null").count() == 0
-    assert fitted.levels == {"model": "X1"}
+    train, rest, f = parts(spark)
+    fitted = models.fit_imputation(train, f)
+    known = [r.drawn_7d for r in train.collect() if r.drawn_7d is not None]
+    assert len(known) == 52 and fitted.medians["drawn_7d"] == pytest.approx(statistics.median(known))
+    filled = fitted.apply(rest.unionByName(train))
+    assert filled.filter("drawn_7d is null").isEmpty() and filled.count() == 90
+    assert fitted.levels == {"lining": "clay"}
+
+
+def test_a_feature_without_training_values_is_refused(spark):
+    train, _, f = parts(spark)
+    with pytest.raises(ValueError, match="drawn_7d"):
+        models.fit_imputation(train.withColumn("drawn_7d", F.lit(None).cast("double")), f)
+
+
+SMALL = {"logreg_iter": 5, "trees": 3, "boost_rounds": 2, "boost_depth": 2}
 
 
 def test_fit_score_compare(spark):
-    df = gold_like(spark)
-    train, test, f = df.filter("split = 'train'"), df.filter("split <> 'train'"), features(df)
-    sizes = {"logreg_iter": 5, "trees": 3, "tree_depth": 2, "boost_rounds": 2, "boost_depth": 2}
-    out = models.compare_models(train, test, f, **sizes).collect()
-    assert {r["model"] for r in out} == {"logreg", "random_forest", "boosting"}
+    train, test, f = parts(spark)
+    out = models.compare_models(train, test, f, **SMALL).collect()
+    assert {r["model"] for r in out} == set(models.MODELS)
     assert [r["pr_auc_test"] for r in out] == sorted([r["pr_auc_test"] for r in out], reverse=True)
-    assert all(r["tn"] + r["fp"] + r["fn"] + r["tp"] == 16 for r in out)
-    fitted = models.fit_classifier(train, f, "logreg", **sizes)
-    unseen = fitted.score(test.withColumn("model", F.lit("NEW")))
-    assert unseen.filter("score between 0 and 1").count() == 16
-    drops = explain.permutation_importance(fitted, test, ["id"]).collect()
-    assert {r["feature"] for r in drops} == {"mean_6h", "mean_24h", "model"}
+    assert all(r["tn"] + r["fp"] + r["fn"] + r["tp"] == 36 for r in out)
+    for name in models.MODELS:
+        fitted = models.fit_classifier(train, f, name, **SMALL)
+        unseen = fitted.score(test.withColumn("lining", F.lit("steel")))
+        assert unseen.columns == [*test.columns, models.SCORE] and unseen.filter("score between 0 and 1").count() == 36
+        # a model fitted alone scores as in the comparison of all
+        told = {r["model"]: (r["pr_auc_test"], r["roc_auc_test"]) for r in out}[name]
+        row = models.evaluate(fitted, test).first()
+        assert (row["pr_auc_test"], row["roc_auc_test"]) == pytest.approx(told, abs=0.15 if name != "logreg" else 1e-9)
+    drops = explain.permutation_importance(models.fit_classifier(train, f, "logreg", **SMALL), test, ["id"]).collect()
+    assert {r["feature"] for r in drops} == {"drawn_7d", "level", "lining"}
+
+
+def test_models_find_the_signal(spark):
+    train, test, f = parts(spark)
+    out = {r["model"]: r["roc_auc_test"] for r in models.compare_models(train, test, f, trees=60, boost_rounds=30, boost_depth=2).collect()}
+    assert min(out.values()) > 0.7
+
+
+def test_comparison_of_horizons(spark):
+    train, test, f = parts(spark)
+    extra = lambda df: df.withColumn("wet", 1 - F.col("dry"))
+    table = models.compare_horizons(extra(train), extra(test), f, {6: "dry", 12: "wet"}, **SMALL)
+    rows = {(r["horizon_h"], r["model"]): r for r in table.collect()}
+    assert len(rows) == 6 and all(rows[6, m]["tp"] + rows[6, m]["fn"] == 36 - rows[12, m]["tp"] - rows[12, m]["fn"] for m in models.MODELS)
+    best = {r["horizon_h"]: r["pr_auc_test"] for r in models.best_by_horizon(table).collect()}
+    assert best == {h: max(rows[h, m]["pr_auc_test"] for m in models.MODELS) for h in (6, 12)}
 
 
 def test_cross_validation_does_not_depend_on_row_order(spark):
-    df = gold_like(spark)
+    df = wells(spark)
     f = features(df)
     fit = lambda part: models.fit_classifier(part, f, "logreg", logreg_iter=5)
     a = models.cross_validate(df, f, "us", ["id"], fit, 2)
-    b = models.cross_validate(df.orderBy(F.desc("mean_24h")).repartition(3), f, "us", ["id"], fit, 2)
+    b = models.cross_validate(df.orderBy(F.desc("level")).repartition(3), f, "us", ["id"], fit, 2)
     assert a == pytest.approx(b)
 
 
 def test_search_space_and_params(spark, tmp_path):
+    assert len(models.SEARCH_SPACE) == 9
     for p in models.suggest(20):
-        assert 100 <= p["maxIter"] <= 800 and (p["maxIter"] - 100) % 50 == 0
-        assert 3 <= p["maxDepth"] <= 10 and 0.01 <= p["stepSize"] <= 0.3
-        assert 0.5 <= float(p["featureSubsetStrategy"]) <= 1.0
+        assert 100 <= p["rounds"] <= 800 and (p["rounds"] - 100) % 50 == 0
+        assert 3 <= p["depth"] <= 10 and 0.01 <= p["rate"] <= 0.3 and 1 <= p["min_child_weight"] <= 10
+        assert 0.5 <= p["subsample"] <= 1.0 and 0.5 <= p["columns"] <= 1.0
+        assert 0.0 <= p["gamma"] <= 5.0 and 1e-3 <= min(p["alpha"], p["lam"]) <= max(p["alpha"], p["lam"]) <= 10
     assert models.suggest(3) == models.suggest(3)
     models.save_params(spark, models.suggest(1)[0], str(tmp_path / "p"))
     assert models.load_params(spark, str(tmp_path / "p")) == models.suggest(1)[0]
 
 
 def test_search_orders_rows_once_and_refits_the_best(spark, monkeypatch):
-    df = gold_like(spark)
-    f = features(df)
+    train, test, f = parts(spark)
     ordered = []
     index = models.chronological_index
     monkeypatch.setattr(models, "chronological_index", lambda *a: ordered.append(a) or index(*a))
-    trials = [{"maxIter": n, "maxDepth": 2, "stepSize": 0.1} for n in (1, 2, 2)]
-    rows = models.search(df.filter("split = 'train'"), f, "us", ["id"], trials, 2)
-    assert len(ordered) == 1 and sorted(r["trial"] for r in rows) == [0, 1, 2]
+    trials = [{"rounds": n, "depth": 2, "rate": 0.1} for n in (1, 3, 3)]
+    found = models.search(train, f, "us", ["id"], trials, 2)
+    rows = found.rows
+    assert found.passes == 0 and len(ordered) == 1 and sorted(r["trial"] for r in rows) == [0, 1, 2]
     same = {r["trial"]: r["pr_auc_cv_mean"] for r in rows}
     assert same[1] == same[2] and rows == sorted(rows, key=lambda r: (-r["pr_auc_cv_mean"], r["trial"]))
-    train, test = df.filter("split = 'train'"), df.filter("split <> 'train'")
-    equal = {**models.BOOST, "maxIter": 2, "maxDepth": 2}
-    out = [r.asDict() for r in models.refit_best(train, test, f, equal, boost_rounds=2, boost_depth=2).collect()]
+    # in step: all trials of all folds share the passes, one a level of the longest
+    together = models.search(train, f, "us", ["id"], trials, 2, alone=False)
+    assert together.rows == rows and together.passes <= 3 * 2
+    equal = {**asdict(models.BOOST), "rounds": 2, "depth": 2}
+    out = [r.asDict() for r in models.refit_best(train, test, f, equal, boost_rounds=2, boost_depth=2).orderBy("model").collect()]
     names = [r.pop("model") for r in out]
     assert names == ["baseline", "tuned"] and out[0] == out[1]
 
 
 def test_winner_and_best_by_horizon(spark):
-    df = gold_like(spark)
-    train, test, f = df.filter("split = 'train'"), df.filter("split <> 'train'"), features(df)
+    train, test, f = parts(spark)
     kind = "model string, pr_auc_test double"
     told = spark.createDataFrame([("boosting", 0.2), ("logreg", 0.9), ("random_forest", 0.9)], kind)
     assert models.fit_winner(train, f, told, logreg_iter=5).name == "logreg"
     other = spark.createDataFrame([("boosting", 0.7)], kind)
     best = {r["horizon_h"]: (r["model"], r["pr_auc_test"]) for r in models.best_by_horizon({6: told, 12: other}).collect()}
     assert best == {6: ("logreg", 0.9), 12: ("boosting", 0.7)}
-    assert models.evaluate(models.fit_classifier(train, f, "logreg", logreg_iter=5), test).first()["model"] == "logreg"
+    assert models.fit_winner(train, f, other, **SMALL).name == "boosting"
 
 
-def test_full_size_model_queries(spark, monkeypatch):
-    """The comparison and the search are registered and pass no smaller sizes than the declared ones."""
-    from fleetcast.operators import models
+def test_full_size_comparison(spark):
+    """The registered comparison at its declared sizes on the smallest tables."""
     from fleetcast.queries import learning, registered
 
-    asked = []
+    assert (models.BOOST.rounds, models.FOREST_TREES, learning.TRIALS) == (300, 300, 50)
+    sf = "/root/testdata/sf0.001"
+    rows = registered()["ml_compare"](spark, sf).collect()
+    test = learning.split_part(learning.matrix(spark, sf), "test")
+    want = {h: (test.count(), test.filter(f"{y} = 1").count()) for h, y in learning.HORIZON_LABELS.items()}
+    assert {(r["horizon_h"], r["model"]) for r in rows} == {(h, m) for h in want for m in models.MODELS}
+    assert all((r["tn"] + r["fp"] + r["fn"] + r["tp"], r["fn"] + r["tp"]) == want[r["horizon_h"]] for r in rows)
+    assert all(0 <= r["pr_auc_test"] <= 1 for r in rows)
 
-    def compare(train, test, features, *names, **sizes):
-        asked.append((features.label, names, sizes))
-        one = learning.F.lit(1.0)
-        names = "model pr_auc_test roc_auc_test precision recall f1 tn fp fn tp".split()
-        return spark.range(1).select(*[one.alias(c) for c in names])
 
-    def search(train, features, us, ties, trials, *k):
-        asked.append((train.count(), trials, k))
-        return [{"trial": i, "params": p, "pr_auc_cv_mean": 0.5, "pr_auc_cv_std": 0.0, "roc_auc_cv_mean": 0.5, "roc_auc_cv_std": 0.0} for i, p in enumerate(trials)]
+def test_search_and_refit_queries(spark, monkeypatch):
+    """The registered queries with two trials instead of fifty."""
+    from fleetcast.queries import learning, registered
 
-    monkeypatch.setattr(learning, "compare_models", compare)
-    monkeypatch.setattr(learning, "search", search)
+    monkeypatch.setattr(learning, "TRIALS", 2)
     sf = "/root/testdata/sf0.001"
-    assert registered()["ml_compare"](spark, sf).count() == len(learning.LOG.horizons_h)
-    assert asked == [(f"label_incident_{h}h", (), {}) for h in learning.LOG.horizons_h]
-    asked.clear()
-    assert registered()["ml_search"](spark, sf).count() == 50
-    train = learning.split_part(learning.matrix(spark, sf), "train").count()
-    assert asked == [(train, models.suggest(50), ())] and "ml_refit" in registered()
+    rows = registered()["ml_search"](spark, sf).collect()
+    assert sorted(r["trial"] for r in rows) == [0, 1] and all(0 <= r["pr_auc_cv_mean"] <= 1 for r in rows)
+    assert {r["model"] for r in registered()["ml_refit"](spark, sf).collect()} == {"baseline", "tuned"}
 
 
 def test_saved_contract_has_counts(spark, monkeypatch):

@@ -95,12 +95,17 @@ def test_constant_imputation(spark):
 
 
 def reports(spark):
-    flags = {s: [0, 0] for s in INCIDENT_SIGNALS}
-    flags["type_surchauffe"] = [1, 1]
-    flags["type_vibration"] = [0, 1]
+    """Four reports of a bottling line: one signal, none, three, and one without comment."""
+    signals = {"R7": ["type_bruit_mecanique"], "R8": [], "R9": INCIDENT_SIGNALS[:3], "Q1": [INCIDENT_SIGNALS[-1]]}
+    facts = {
+        "R7": ("2021-12-30", "13:20", "MACH-43", 2, "hums since the shift began", "matin"),
+        "R8": ("2022-01-03", "00:05", "MACH-41", 4, "stopped by hand", "nuit"),
+        "R9": ("2022-02-28", "21:59", "line three", 5, "leak, smell and heat", "apres-midi"),
+        "Q1": ("2022-03-01", "14:00", "MACH-42", 3, None, "apres-midi"),
+    }
     rows = [
-        ("INC-1", "2025-06-01", "05:00", "A", "MACH-01", 1, "OP1", "chauffe", "matin", *[v[0] for v in flags.values()]),
-        ("INC-2", "2025-06-02", "22:00", "B", "MACH-02", 3, "OP2", None, "nuit", *[v[1] for v in flags.values()]),
+        (i, date, time, f"worker of {i}", machine, severity, f"b-{i}", comment, shift, *[int(s in signals[i]) for s in INCIDENT_SIGNALS])
+        for i, (date, time, machine, severity, comment, shift) in facts.items()
     ]
     schema = (
         "incident_id string, date string, time string, operator_name string, machine_id string, severity int, "
@@ -110,50 +115,52 @@ def reports(spark):
 
 
 def test_identifiers_are_dropped(spark):
-    out = drop_identifiers(reports(spark))
-    assert not {"operator_name", "operator_badge"} & set(out.columns) and "comment" in out.columns
+    df = reports(spark)
+    out = drop_identifiers(df)
+    assert set(df.columns) - set(out.columns) == {"operator_name", "operator_badge"}
     assert drop_identifiers(out).columns == out.columns
 
 
 def test_enrichment_and_confidence(spark):
-    rows = by(report_confidence(enrich_incidents(drop_identifiers(reports(spark)))), "incident_id")
-    assert rows[0]["signal"] == "type_surchauffe" and rows[1]["signal"] == "multiple"
-    assert rows[0]["confidence"] == 1.0 and rows[1]["confidence"] == 0.6
-    assert str(rows[0]["dt"]) == "2025-06-01 05:00:00" and rows[0]["semaine_iso"] == "2025-S22"
-    bad = reports(spark).withColumn("time", F.lit("99:99"))
-    assert all(r["dt"] is None and r["semaine_iso"] is None for r in enrich_incidents(bad).collect())
-
-
-def shift_rows():
-    name = lambda h: "matin" if 6 <= h < 14 else "apres-midi" if 14 <= h < 22 else "nuit"
-    return [(f"{h:02d}:00", name(h)) for h in range(24)]
+    rows = {r["incident_id"]: r for r in report_confidence(enrich_incidents(drop_identifiers(reports(spark)))).collect()}
+    assert {i: r["n_signals"] for i, r in rows.items()} == {"R7": 1, "R8": 0, "R9": 3, "Q1": 1}
+    assert rows["R9"]["signal"] == "multiple" and rows["Q1"]["signal"] == INCIDENT_SIGNALS[-1]
+    assert rows["R7"]["confidence"] == 1.0 and all(rows[i]["confidence"] < 1 for i in ("R8", "R9", "Q1"))
+    # the week of 2021-12-30 is the last of its year, that of 2022-01-03 the first
+    assert [rows[i]["semaine_iso"] for i in ("R7", "R8")] == ["2021-S52", "2022-S01"]
+    assert str(rows["R9"]["dt"]) == "2022-02-28 21:59:00"
+    for clock in ("7 pm", "24:10", None):
+        assert enrich_incidents(reports(spark).withColumn("time", F.lit(clock).cast("string"))).filter("dt is not null").isEmpty()
 
 
 def test_shift_partition(spark):
-    ok = checks.check_shifts(spark.createDataFrame(shift_rows(), "time string, shift string")).first()
-    assert ok["partition_3x8"] and ok["n_mismatched"] == 0 and ok["min_hours"] == ok["max_hours"] == 8
-    extra = [*shift_rows(), ("08:00", "nuit")]
-    ko = checks.check_shifts(spark.createDataFrame(extra, "time string, shift string")).first()
-    assert ko["n_mismatched"] >= 1
+    clocks = [(f"{h:02d}:{m:02d}", "matin" if h in range(6, 14) else "apres-midi" if h in range(14, 22) else "nuit") for h in range(24) for m in (0, 30)]
+    shifts = lambda rows: checks.check_shifts(spark.createDataFrame(rows, "time string, shift string")).first()
+    whole = shifts(clocks)
+    assert whole["partition_3x8"] and (whole["n_mismatched"], whole["min_hours"], whole["max_hours"]) == (0, 8, 8)
+    # two reports of the afternoon are filed under the morning
+    swapped = [(t, "matin" if t in ("15:30", "19:00") else s) for t, s in clocks]
+    assert shifts(swapped)["n_mismatched"] >= 2
+    # nobody reports between three and five
+    assert not shifts([c for c in clocks if not "03:00" <= c[0] < "05:00"])["partition_3x8"]
 
 
-def test_severity_rule(spark):
-    ok = checks.check_range(spark.createDataFrame([(v,) for v in (2, 3, 5, 4, 3)], "severity int"), "severity", 1, 5).first()
-    assert ok["rule_holds"] and (ok["min"], ok["max"], ok["absent_levels"]) == (2, 5, "1")
-    ko = checks.check_range(spark.createDataFrame([(1,), (6,), (None,)], "severity int"), "severity", 1, 5).first()
-    assert not ko["rule_holds"] and (ko["n_out_of_range"], ko["n_null"]) == (1, 1)
+def test_range_rule(spark):
+    grades = lambda *v: checks.check_range(spark.createDataFrame([(x,) for x in v], "grade int"), "grade", 10, 14).first()
+    fine = grades(14, 10, 10, 12)
+    assert fine["rule_holds"] and (fine["min"], fine["max"], fine["absent_levels"], fine["n_null"]) == (10, 14, "11,13", 0)
+    off = grades(9, 11, None, 15, 20, None)
+    assert not off["rule_holds"] and (off["n_out_of_range"], off["n_null"]) == (3, 2)
 
 
 def test_flag_rule(spark):
-    good = checks.check_binary_flags(reports(spark), INCIDENT_SIGNALS).collect()
-    assert all(r["binary"] and r["n_rows_without_signal"] == 0 for r in good)
-    bad = reports(spark).withColumn(
-        "type_surchauffe", F.when(F.col("incident_id") == "INC-1", 2).otherwise(F.col("type_surchauffe"))
-    )
-    broken = [r["flag"] for r in checks.check_binary_flags(bad, INCIDENT_SIGNALS).collect() if not r["binary"]]
-    assert broken == ["type_surchauffe"]
-    values = checks.bad_flag_values(bad, INCIDENT_SIGNALS).collect()
-    assert [(r["flag"], r["value"], r["n"]) for r in values] == [("type_surchauffe", 2, 1)]
+    df = reports(spark)
+    told = checks.check_binary_flags(df, INCIDENT_SIGNALS).collect()
+    assert len(told) == len(INCIDENT_SIGNALS) and all(r["binary"] and r["n_rows_without_signal"] == 1 for r in told)
+    first, last = INCIDENT_SIGNALS[0], INCIDENT_SIGNALS[-1]
+    broken = df.withColumn(last, F.when(F.col("severity") >= 4, -1).otherwise(F.col(last))).withColumn(first, F.col(first) * 7)
+    assert {r["flag"] for r in checks.check_binary_flags(broken, INCIDENT_SIGNALS).collect() if not r["binary"]} == {first, last}
+    assert {(r["flag"], r["value"], r["n"]) for r in checks.bad_flag_values(broken, INCIDENT_SIGNALS).collect()} == {(first, 7, 1), (last, -1, 2)}
 
 
 # --- reference tables ---------------------------------------------------------------------------

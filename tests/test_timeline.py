@@ -38,14 +38,14 @@ def empty_maintenance(spark):
 
 
 def test_labels_and_remaining_life(spark, chunks):
-    readings = frame(spark, [(1, hour(6 * i)) for i in range(5)], TS)
-    ctx = event_context(readings, incidents_of(spark, 13), empty_maintenance(spark), "machine_pk")
+    """Two incidents, 20 and 50 hours on; readings at uneven times, the last of them after both."""
+    at = [0, 1.5, 9, 13.75, 19.5, 20, 26, 49, 50, 53.25]
+    ctx = event_context(frame(spark, [(4, hour(h)) for h in at], TS), incidents_of(spark, 20, 50, machine=4), empty_maintenance(spark), "machine_pk")
     rows = by(add_labels(ctx), "us")
-    assert [r["label_incident_6h"] for r in rows] == [0, 0, 1, 0, 0]
-    assert rows[2]["rul_hours"] == 1.0 and rows[2]["rul_censored"] == 0
-    assert rows[3]["rul_censored"] == 1 and rows[3]["rul_hours"] is None
-    for r in rows:  # labels are nested
-        assert r["label_incident_6h"] <= r["label_incident_12h"] <= r["label_incident_24h"]
+    nearest = [min((u - h for u in (20, 50) if u > h), default=None) for h in at]
+    assert [r["rul_hours"] for r in rows] == nearest and [r["rul_censored"] for r in rows] == [int(n is None) for n in nearest]
+    for horizon in (6, 12, 24, 48):
+        assert [r[f"label_incident_{horizon}h"] for r in rows] == [int(n is not None and n <= horizon) for n in nearest]
 
 
 def test_label_interval_is_left_open_right_closed(spark):
@@ -56,24 +56,23 @@ def test_label_interval_is_left_open_right_closed(spark):
 
 
 def test_time_since_maintenance_counts_from_its_end(spark):
-    readings = frame(spark, [(1, hour(1)), (1, hour(3)), (1, hour(6))], TS)
-    ctx = event_context(
-        readings, empty_events(spark), maintenance_of(spark, (2, 2)), "machine_pk"
-    )
+    """Works of 30 hours and of 45 minutes: zero while they last, then the hours since."""
+    at = {5: None, 10: 0.0, 27.5: 0.0, 40: 0.0, 41: 1.0, 63: 23.0, 64: 0.0, 66: 1.25}
+    readings = frame(spark, [(2, hour(h)) for h in at], TS)
+    ctx = event_context(readings, empty_events(spark), maintenance_of(spark, (10, 30), (64, 0.75), machine=2), "machine_pk")
     rows = by(add_history(ctx), "us")
-    # none before; inside the interval: floored at zero; two hours after its end
-    assert [r["time_since_last_maintenance_h"] for r in rows] == [None, 0.0, 2.0]
-    assert [r["time_since_last_incident_h"] for r in rows] == [None] * 3
+    assert [r["time_since_last_maintenance_h"] for r in rows] == list(at.values())
+    assert {r["time_since_last_incident_h"] for r in rows} == {None}
 
 
 def test_membership_and_segments(spark, chunks):
-    readings = frame(spark, [(1, hour(h)) for h in range(6)], TS)
-    ctx = event_context(
-        readings, empty_events(spark), maintenance_of(spark, (3, 2)), "machine_pk"
-    )
-    rows = by(ctx, "us")
-    assert [r["during_maintenance"] for r in rows] == [False, False, False, True, True, False]
-    assert [r["segment"] for r in rows] == [0, 0, 0, 1, 1, 1]
+    """Back-to-back works: the second begins a segment although the first has just ended."""
+    works = [(8, 4), (12, 1), (30, 6)]
+    at = [0, 7.99, 8, 11.5, 12, 12.99, 13, 29, 30, 35.99, 36, 80]
+    readings = frame(spark, [(9, hour(h)) for h in at], TS)
+    rows = by(event_context(readings, empty_events(spark), maintenance_of(spark, *works, machine=9), "machine_pk"), "us")
+    assert [r["segment"] for r in rows] == [0, 0, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3]
+    assert [r["during_maintenance"] for r in rows] == [any(a <= h < a + d for a, d in works) for h in at]
 
 
 def test_events_of_unknown_machines_are_ignored(spark):
