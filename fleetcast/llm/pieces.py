@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from fleetcast.llm.code_index import CodeIndex, Grown, gather
 from fleetcast.llm.words import span_codes, text_bytes
 
 #: distinct pieces that a worker remembers before it starts over
@@ -39,62 +40,57 @@ class PieceEncoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # marker strings in a text are ordinary text
         self.remembered = remembered
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
     def _forget(self) -> None:
-        self.codes = np.zeros(0, np.uint64)  # ascending
-        self.slots = np.zeros(0, np.int64)
-        self.start = np.zeros(1 << 12, np.int64)  # one more than slots: ids of slot s are start[s]:start[s + 1]
-        self.ids = np.zeros(1 << 14, self.type)
+        self.index = CodeIndex()
+        self.at = Grown(np.int64, (0,))  # ids of slot s are at[s]:at[s + 1]
+        self.held = Grown(self.type)
+
+    @property
+    def start(self) -> np.ndarray:
+        return self.at.values
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.held.values
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for k in range(0, len(texts), _AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[k : k + _AT_ONCE], add_special_tokens=False)]
 
-    def _learn(self, codes: np.ndarray, texts: list[str]) -> None:
-        """Remember new pieces; ``codes`` are ascending."""
-        used = len(self.slots)
+    def _learn(self, codes: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Remember new pieces; returns their slots."""
         for k in range(0, len(texts), _AT_ONCE):
-            new = self.direct(texts[k : k + _AT_ONCE])
-            at = used + k
-            while at + len(new) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            ends = self.start[at] + np.cumsum([len(x) for x in new])
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.start[at] : ends[-1]] = np.fromiter((i for x in new for i in x), self.type, int(ends[-1] - self.start[at]))
-            self.start[at + 1 : at + len(new) + 1] = ends
-        where = np.searchsorted(self.codes, codes)
-        self.codes = np.insert(self.codes, where, codes)
-        self.slots = np.insert(self.slots, where, np.arange(used, used + len(codes)))
-
-    def _slots(self, codes: np.ndarray) -> np.ndarray:
-        """Slots of the codes, -1 for those not known."""
-        if not len(self.codes):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.slots[at], -1)
+            new = [np.array(x, self.type) for x in self.direct(texts[k : k + _AT_ONCE])]
+            self.held.append(np.concatenate(new))
+            self.at.append(self.start[-1] + np.cumsum([len(x) for x in new]))
+        return self.index.add(codes)
 
     def pieces(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start byte of each piece of the rows, and the slot of its ids."""
         rows = at[:-1][np.diff(at) > 0]
-        start = np.union1d(rows, cut_points(raw)) if len(raw) else rows
-        if not len(start):
-            return start, np.zeros(0, np.int64)
+        if not len(rows):
+            return rows, np.zeros(0, np.int32)
+        first = np.zeros(len(raw), bool)
+        first[rows] = True
+        first[cut_points(raw)] = True
+        start = np.flatnonzero(first)
         end = np.append(start[1:], len(raw))
-        code, where, which = np.unique(span_codes(raw, start, end, fold=False), return_index=True, return_inverse=True)
-        if len(self.slots) > self.remembered:
+        code = span_codes(raw, start, end, fold=False)
+        if self.index.size > self.remembered:
             self._forget()
-        new = np.flatnonzero(self._slots(code) < 0)
-        if len(new):
-            self._learn(code[new], [raw[start[k] : end[k]].tobytes().decode() for k in where[new].tolist()])
-        slot = self._slots(code)
-        return start, slot[which]
+        slot = self.index.find(code)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):  # only what is new is sorted
+            new, one, which = np.unique(code[miss], return_index=True, return_inverse=True)
+            seen = miss[one]
+            slot[miss] = self._learn(new, [raw[s:e].tobytes().decode() for s, e in zip(start[seen].tolist(), end[seen].tolist(), strict=True)])[which]
+        return start, slot
 
     def counts(self, slot: np.ndarray) -> np.ndarray:
-        return self.start[slot + 1] - self.start[slot]
+        return np.diff(self.start)[slot]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and where each row begins (n + 1 values)."""
@@ -102,8 +98,7 @@ class PieceEncoder:
         start, slot = self.pieces(raw, at)
         many = self.counts(slot)
         total = np.concatenate([[0], np.cumsum(many)])
-        take = np.repeat(self.start[slot] - total[:-1], many) + np.arange(total[-1])
-        return self.ids[take], total[np.searchsorted(start, at)]
+        return self.ids[gather(self.start[slot], many)], total[np.searchsorted(start, at)]
 
 
 @lru_cache(maxsize=2)

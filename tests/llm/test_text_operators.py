@@ -24,6 +24,7 @@ PLAIN = [
     (None, "no id  here  é à ü x"),
     (7, "été   deux  mots 日本 語  x é́ y"),
     (8, " leading and trailing "),
+    (12, "<|endoftext|>at the start, twice<|endoftext|><|endoftext|> and alone <|endoftext|> at the end<|endoftext|>"),
     (2, "word " * 9000),
 ]
 
@@ -279,7 +280,7 @@ def test_token_buckets_count_tokens(spark, docs, monkeypatch):
         for r in df.collect():
             n = len(t.encode(r.text or "", add_special_tokens=False).ids)
             want[r.doc_id] = want.get(r.doc_id, 0) + n + (n > 0)
-        rows = queries.QUERIES["op2_token_buckets"](spark, "").collect()
+        rows = queries.QUERIES["op2_length_buckets"](spark, "").collect()
         got = {}
         for r in rows:
             got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
@@ -292,5 +293,34 @@ def test_token_buckets_count_tokens(spark, docs, monkeypatch):
     assert max(sizes.values()) <= packing.BUDGET
 
 
+def test_batches_equal_a_plain_packing(spark, chunks):
+    """Chunks, limits of least padding, and numbered batches of whole real token counts."""
+    rnd = random.Random(6)
+    texts = [None, "", "<|endoftext|>", *(" ".join(rnd.choice(["tree", "x", "été", "12345"]) for _ in range(rnd.choice([1, 3, 9, 30, 31, 200]))) for _ in range(60))]
+    df = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in enumerate(texts)], "doc_id long, text string, bucket int, _n int, chunk string")
+    rows = packing.pack(df, packing.token_count(F.col("text"), brute.VOCABULARY), context=64, step=8, buckets=3, budget=300).collect()
+    t, cut = brute.tokenizer(), []
+    for k, text in enumerate(texts):
+        n = len(t.encode(text or "", add_special_tokens=False).ids)
+        n += n > 0
+        cut += [(k, c, min(64, n - 64 * c)) for c in range(max(1, -(-n // 64)))]
+    rounded = [-(-n // 8) * 8 for _, _, n in cut if n]
+    limits = sorted({r.bucket for r in rows if r.bucket})
+    lengths = sorted(set(rounded))
+    counts = [rounded.count(x) for x in lengths]
+    assert sum(min(b for b in limits if b >= x) for x in rounded) == least_padding(lengths, counts, 3) and len(limits) == 3
+    placed, want = dict.fromkeys(limits, 0), []
+    for k, c, n in cut:
+        if not n:
+            want.append((k, c, 0, None, None, None))
+            continue
+        b = min(x for x in limits if x >= n)
+        want.append((k, c, n, b, placed[b] // (300 // b), placed[b] % (300 // b)))
+        placed[b] += 1
+    assert sorted(map(tuple, rows)) == want
+    none = packing.pack(df.limit(0), packing.token_count(F.col("text"), brute.VOCABULARY))
+    assert none.count() == 0 and none.columns == ["doc_id", "chunk", "n_tokens", "bucket", "batch", "slot"]
+
+
 def test_row_without_text_column_types():
     assert token_files.TokenFile.open(token_files._file(__import__("numpy").array([5, 2], "uint16"), pa.table({"doc_id": [1], "n_tokens": [2]}), 0, 0, 4)).tokens == 2
