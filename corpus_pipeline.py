@@ -7,6 +7,7 @@ written as Parquet before the next one reads it. All but the last keep the colum
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from fleetcast.llm.frames import free_name
 from fleetcast.session import stage
 
 TOXIC_FROM = 0.7
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,8 @@ def mask_secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every chunk of every document."""
-    return packing.pack(docs, packing.word_count(F.col("text")), tie=F.xxhash64("text"))
+    """Bucket, batch and slot of every chunk of every document; lengths are tokens."""
+    return packing.pack(docs, packing.token_count(F.col("text"), public_tokenizers.path(VOCABULARY)), tie=F.xxhash64("text"))
 
 
 STAGES = [
