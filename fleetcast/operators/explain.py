@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from fleetcast.operators.boosting import Tree, TreeModel
 from fleetcast.operators.evaluate import average_precision
-from fleetcast.operators.models import SCORE, Fitted
+from fleetcast.operators.models import SCORE
 from fleetcast.operators.ordered import IDX, number_order
+from fleetcast.session import stage
 
 
 def clean_names(df: DataFrame, col: str = "feature") -> DataFrame:
@@ -85,25 +86,26 @@ def compare_importance(first: DataFrame, second: DataFrame, top_n: int = 15) ->
     )
 
 
-def permutation_importance(fitted: Fitted, df: DataFrame, order: list[str], seed: int = 42) -> DataFrame:
+def permutation_importance(fitted, df: DataFrame, order: list[str], seed: int = 42) -> DataFrame:
     """Loss of average precision when one feature is shuffled, per feature.
 
-    A column is shuffled by pairing two dense numberings of the rows, one in ``order`` and
-    one in a seeded hash order; both are distributed sorts.
+    Columns are shuffled by pairing two dense numberings of the rows, one in ``order`` and one in a
+    seeded hash order: two distributed sorts and one join, whatever the number of features. All shuffled
+    scores are ranked in one job.
     """
     label = fitted.features.label
-    base = average_precision(fitted.score(df), label, SCORE).first()["average_precision"]
+    names = [*fitted.features.numeric, *fitted.features.categorical]
     rows = number_order(df, order)
-    mixed = number_order(
-        df.withColumn("_mix", F.xxhash64(F.lit(seed), *order)), ["_mix", *order]
-    )
-    out = []
-    for feature in (*fitted.features.numeric, *fitted.features.categorical):
-        donor = mixed.select(IDX, F.col(feature).alias("_donor"))
-        shuffled = rows.join(donor, IDX).withColumn(feature, F.col("_donor")).drop("_donor")
-        ap = average_precision(fitted.score(shuffled), label, SCORE).first()["average_precision"]
-        out.append((feature, float(base - ap)))
-    return df.sparkSession.createDataFrame(out, "feature string, attribution double")
+    mixed = number_order(df.withColumn("_mix", F.xxhash64(F.lit(seed), *order)), ["_mix", *order])
+    donors = mixed.select(IDX, F.struct(*[F.col(c) for c in names]).alias("_donor"))
+    paired = stage(rows.join(donors, IDX).drop(IDX))
+    scored = None
+    for feature in [None, *names]:
+        shuffled = paired if feature is None else paired.withColumn(feature, F.col(f"_donor.{feature}"))
+        part = fitted.score(shuffled.drop("_donor")).select(F.lit(feature or "").alias("feature"), label, SCORE)
+        scored = part if scored is None else scored.unionByName(part)
+    got = {r["feature"]: r["average_precision"] for r in average_precision(stage(scored), label, SCORE, ["feature"]).collect()}  # a row a feature
+    return df.sparkSession.createDataFrame([(c, float(got[""] - got[c])) for c in names], "feature string, attribution double")
 
 
 # --- attributions of trees ---------------------------------------------------------------------

@@ -8,7 +8,8 @@ linear in rows, with hot entities split over many chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,13 @@ _MAINTENANCE_DAYS = 30
 _MARKS = ("has_inc", "n_start", "d_inc7", "d_inc30", "d_mnt30")
 
 
-def _event_rows(incidents: DataFrame, maintenance: DataFrame, entity: str) -> DataFrame:
-    """One row per (entity, instant) with event marks and count changes.
+#: what each lookup needs of the events: marks, and the carries of earlier chunks
+_OF_INCIDENTS = ("last_incident_us", "next_incident_us", "n_incidents_7d", "n_incidents_30d")
+_OF_MAINTENANCE = tuple(c for c in CONTEXT if c not in _OF_INCIDENTS)
+
+
+def _event_rows(incidents: DataFrame, maintenance: DataFrame, entity: str, wanted: Collection[str]) -> DataFrame:
+    """One row per (entity, instant) with event marks and count changes; only what ``wanted`` lookups need.
 
     An event adds one to its past counts at its own time and takes it back one look-back
     later, so a sliding count becomes a running total.
@@ -51,19 +57,20 @@ def _event_rows(incidents: DataFrame, maintenance: DataFrame, entity: str) -> Da
 
     us = F.col("us")
     d7, d30 = (d * DAY_US for d in _INCIDENT_DAYS)
-    inc_marks = F.array(
-        mark(us, has_inc=1, d_inc7=1, d_inc30=1),
-        mark(us + d7, d_inc7=-1),
-        mark(us + d30, d_inc30=-1),
-    )
-    mnt_marks = F.array(
-        mark(us, F.col("end_us"), n_start=1, d_mnt30=1),
-        mark(us + _MAINTENANCE_DAYS * DAY_US, d_mnt30=-1),
-    )
-    rows = inc.select(entity, F.inline(inc_marks)).unionByName(
-        mnt.select(entity, F.inline(mnt_marks))
-    )
-    return rows.groupBy(entity, "us").agg(
+    inc_marks = [mark(us, has_inc=1, d_inc7=1, d_inc30=1)]
+    if "n_incidents_7d" in wanted:
+        inc_marks.append(mark(us + d7, d_inc7=-1))
+    if "n_incidents_30d" in wanted:
+        inc_marks.append(mark(us + d30, d_inc30=-1))
+    mnt_marks = [mark(us, F.col("end_us"), n_start=1, d_mnt30=1)]
+    if "n_maintenance_30d" in wanted:
+        mnt_marks.append(mark(us + _MAINTENANCE_DAYS * DAY_US, d_mnt30=-1))
+    rows = []
+    if any(c in wanted for c in _OF_INCIDENTS):
+        rows.append(inc.select(entity, F.inline(F.array(*inc_marks))))
+    if any(c in wanted for c in _OF_MAINTENANCE):
+        rows.append(mnt.select(entity, F.inline(F.array(*mnt_marks))))
+    return reduce(DataFrame.unionByName, rows).groupBy(entity, "us").agg(
         F.max("end_us").alias("end_us"),
         F.max("has_inc").alias("has_inc"),
         *[F.sum(c).alias(c) for c in _MARKS if c != "has_inc"],
@@ -77,6 +84,7 @@ def event_context(
     entity: str,
     parts: int | None = None,
     *,
+    wanted: Collection[str] = CONTEXT,
     keep_chunks: bool = False,
 ) -> DataFrame:
     """Add to every reading its maintenance segment, interval membership and nearest events.
@@ -84,74 +92,56 @@ def event_context(
     ``readings`` has ``entity`` and ``us``; ``incidents`` the same; ``maintenance`` has
     ``entity``, ``us`` (start) and ``end_us``. Edges: segment counts starts <= t; membership
     is [start, end); last maintenance is the last one started <= t; last incident is < t and
-    next incident > t; counts cover [t - H, t). ``keep_chunks`` keeps the order chunks for
-    operators that go on with the same order.
+    next incident > t; counts cover [t - H, t). Only the ``wanted`` lookups are built, from the events they
+    need. ``keep_chunks`` keeps the order chunks for operators that go on with the same order.
     """
+    if not wanted or not set(wanted) <= set(CONTEXT):
+        raise ValueError(f"wanted are some of {', '.join(CONTEXT)}")
     payload = [c for c in readings.columns if c not in (entity, "us")]
-    events = _event_rows(incidents, maintenance, entity)
+    events = _event_rows(incidents, maintenance, entity, wanted)
     line = readings.withColumn("_reading", F.lit(True)).unionByName(
         events, allowMissingColumns=True
     )
     chunked = order_chunks(line, [entity, "us"], parts)
 
-    started = F.when(F.col("n_start") > 0, F.struct("us", "end_us"))
-    inc_us = F.when(F.col("has_inc") > 0, F.col("us"))
-    forward = {
-        "c_start": (F.sum("n_start"), F.sum),
-        "c_end": (F.max("end_us"), F.max),
-        "c_last": (F.max(started), F.max),
-        "c_inc": (F.max(inc_us), F.max),
-        "c_inc7": (F.sum("d_inc7"), F.sum),
-        "c_inc30": (F.sum("d_inc30"), F.sum),
-        "c_mnt30": (F.sum("d_mnt30"), F.sum),
-    }
-    carried = carry_over(
-        chunked,
-        [entity],
-        {n: e for n, (e, _) in forward.items()},
-        {n: m for n, (_, m) in forward.items()},
-    )
-    ahead = carry_over(chunked, [entity], {"c_next": F.min(inc_us)}, {"c_next": F.min}, backward=True)
-    line = join_carry(join_carry(chunked, [entity], carried), [entity], ahead)
-
     asc = chunk_window([entity], "us")
     upto = asc.rangeBetween(Window.unboundedPreceding, 0)
     past = asc.rangeBetween(Window.unboundedPreceding, -1)
     # a descending order keeps the growing frame linear; unboundedFollowing would not
     future = chunk_window([entity], F.col("us").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    started = F.when(F.col("n_start") > 0, F.struct("us", "end_us"))
+    inc_us = F.when(F.col("has_inc") > 0, F.col("us"))
 
     def running(col: str, carry: str, frame):
         return F.coalesce(F.col(carry), F.lit(0)) + F.coalesce(F.sum(col).over(frame), F.lit(0))
 
     last = F.coalesce(F.max(started).over(upto), F.col("c_last"))
     seen_end = F.greatest(F.max("end_us").over(upto), F.col("c_end"))
+    # lookup -> what is carried into a chunk from the ones before it, and the lookup itself
+    built = {
+        "segment": ("c_start", F.sum("n_start"), F.sum, running("n_start", "c_start", upto)),
+        "during_maintenance": ("c_end", F.max("end_us"), F.max, F.coalesce(seen_end > F.col("us"), F.lit(False))),
+        "last_start_us": ("c_last", F.max(started), F.max, last["us"]),
+        "last_end_us": ("c_last", F.max(started), F.max, last["end_us"]),
+        "last_incident_us": ("c_inc", F.max(inc_us), F.max, F.coalesce(F.max(inc_us).over(past), F.col("c_inc"))),
+        "n_incidents_7d": ("c_inc7", F.sum("d_inc7"), F.sum, running("d_inc7", "c_inc7", past)),
+        "n_incidents_30d": ("c_inc30", F.sum("d_inc30"), F.sum, running("d_inc30", "c_inc30", past)),
+        "n_maintenance_30d": ("c_mnt30", F.sum("d_mnt30"), F.sum, running("d_mnt30", "c_mnt30", past)),
+    }
+    names = [c for c in CONTEXT if c in wanted]
+    forward = {built[c][0]: built[c][1:3] for c in names if c in built}
+    line = chunked
+    if forward:
+        partials, merges = ({n: x[k] for n, x in forward.items()} for k in (0, 1))
+        line = join_carry(line, [entity], carry_over(chunked, [entity], partials, merges))
+    lookups = {c: built[c][3] for c in names if c in built}
+    if "next_incident_us" in names:
+        ahead = carry_over(chunked, [entity], {"c_next": F.min(inc_us)}, {"c_next": F.min}, backward=True)
+        line = join_carry(line, [entity], ahead)
+        lookups["next_incident_us"] = F.coalesce(F.min(inc_us).over(future), F.col("c_next"))
     kept = [CHUNK] if keep_chunks else []
-    out = line.select(
-        entity,
-        "us",
-        *payload,
-        *kept,
-        "_reading",
-        running("n_start", "c_start", upto).alias("segment"),
-        F.coalesce(seen_end > F.col("us"), F.lit(False)).alias("during_maintenance"),
-        last.alias("_last"),
-        F.coalesce(F.max(inc_us).over(past), F.col("c_inc")).alias("last_incident_us"),
-        F.coalesce(F.min(inc_us).over(future), F.col("c_next")).alias("next_incident_us"),
-        running("d_inc7", "c_inc7", past).alias("n_incidents_7d"),
-        running("d_inc30", "c_inc30", past).alias("n_incidents_30d"),
-        running("d_mnt30", "c_mnt30", past).alias("n_maintenance_30d"),
-    )
-    return out.filter("_reading").select(
-        entity,
-        "us",
-        *payload,
-        *kept,
-        "segment",
-        "during_maintenance",
-        F.col("_last.us").alias("last_start_us"),
-        F.col("_last.end_us").alias("last_end_us"),
-        *[c for c in CONTEXT if c not in ("segment", "during_maintenance", "last_start_us", "last_end_us")],
-    )
+    out = line.select(entity, "us", *payload, *kept, "_reading", *[lookups[c].alias(c) for c in names])
+    return out.filter("_reading").drop("_reading")
 
 
 STEP = "_step"
@@ -186,16 +176,16 @@ def hours(us_column):
     return us_column / F.lit(HOUR_US)
 
 
-def history_columns() -> dict:
-    """Time-since features from the context columns (NULL when there is no earlier event)."""
+def history_columns(known: Collection[str] = CONTEXT) -> dict:
+    """Time-since features from the known context columns (NULL when there is no earlier event)."""
     gap = F.col("us") - F.col("last_end_us")
-    return {
+    out = {}
+    if "last_end_us" in known:
         # measured from the end of the last started intervention, never negative
-        "time_since_last_maintenance_h": F.when(
-            gap.isNotNull(), hours(F.greatest(gap, F.lit(0)))
-        ),
-        "time_since_last_incident_h": hours(F.col("us") - F.col("last_incident_us")),
-    }
+        out["time_since_last_maintenance_h"] = F.when(gap.isNotNull(), hours(F.greatest(gap, F.lit(0))))
+    if "last_incident_us" in known:
+        out["time_since_last_incident_h"] = hours(F.col("us") - F.col("last_incident_us"))
+    return out
 
 
 def label_columns(horizons: Sequence[int] = HORIZONS_H) -> dict:
@@ -214,7 +204,7 @@ def label_columns(horizons: Sequence[int] = HORIZONS_H) -> dict:
 
 def add_history(context: DataFrame) -> DataFrame:
     """Time since the last maintenance and incident (past counts are already in the context)."""
-    return context.withColumns(history_columns())
+    return context.withColumns(history_columns(context.columns))
 
 
 def add_labels(context: DataFrame, horizons: Sequence[int] = HORIZONS_H) -> DataFrame:

@@ -40,6 +40,7 @@ def _load() -> None:
         checks,
         evaluation,
         features,
+        layers,
         governance,
         learning,
         logs,

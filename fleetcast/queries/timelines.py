@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetcast.operators.timeline import add_history, add_labels, event_context
+from fleetcast.operators.timeline import CONTEXT, add_history, add_labels, event_context
 from fleetcast.queries.base import (
     LOG_SQL,
     SEGMENT_SQL,
@@ -16,21 +18,22 @@ from fleetcast.queries.base import (
 )
 
 
-def context(spark: SparkSession, sf: str, *payload: str, keep_chunks: bool = False) -> DataFrame:
-    """Readings (only the payload a query needs) with their event context."""
+def context(spark: SparkSession, sf: str, *payload: str, wanted: Collection[str] = CONTEXT, keep_chunks: bool = False) -> DataFrame:
+    """Readings (only the payload a query needs) with their event context (only the lookups it needs)."""
     cols = ["event_id", "user_id", "us", *payload]
     return event_context(
         log_readings(spark, sf).select(*cols),
         log_incidents(spark, sf).select("user_id", "us"),
         log_maintenance(spark, sf),
         "user_id",
+        wanted=wanted,
         keep_chunks=keep_chunks,
     )
 
 
 @query("segments", f"WITH {SEGMENT_SQL} SELECT event_id, segment FROM located")
 def segments(spark, sf):
-    return context(spark, sf).select("event_id", "segment")
+    return context(spark, sf, wanted=["segment"]).select("event_id", "segment")
 
 
 @query(
@@ -38,7 +41,7 @@ def segments(spark, sf):
     f"WITH {SEGMENT_SQL} SELECT event_id, during_maintenance FROM located",
 )
 def during_interval(spark, sf):
-    return context(spark, sf).select("event_id", "during_maintenance")
+    return context(spark, sf, wanted=["during_maintenance"]).select("event_id", "during_maintenance")
 
 
 @query(
@@ -53,7 +56,7 @@ def during_interval(spark, sf):
     FROM prev""",
 )
 def asof_last_maintenance(spark, sf):
-    out = add_history(context(spark, sf)).select(
+    out = add_history(context(spark, sf, wanted=["last_start_us", "last_end_us"])).select(
         "event_id", "last_start_us", "last_end_us", "time_since_last_maintenance_h"
     )
     return rounded(out, "time_since_last_maintenance_h")
@@ -67,7 +70,7 @@ def asof_last_maintenance(spark, sf):
     FROM readings r ASOF LEFT JOIN incidents i ON r.user_id = i.user_id AND r.us > i.us""",
 )
 def asof_last_incident(spark, sf):
-    out = add_history(context(spark, sf)).select(
+    out = add_history(context(spark, sf, wanted=["last_incident_us"])).select(
         "event_id", "last_incident_us", "time_since_last_incident_h"
     )
     return rounded(out, "time_since_last_incident_h")
@@ -86,9 +89,8 @@ def asof_last_incident(spark, sf):
     FROM readings r""",
 )
 def event_counts(spark, sf):
-    return context(spark, sf).select(
-        "event_id", "n_incidents_7d", "n_incidents_30d", "n_maintenance_30d"
-    )
+    counts = ["n_incidents_7d", "n_incidents_30d", "n_maintenance_30d"]
+    return context(spark, sf, wanted=counts).select("event_id", *counts)
 
 
 _NEXT_SQL = (
@@ -108,7 +110,7 @@ nexts AS (
       CAST(next_us IS NULL AS INTEGER) AS rul_censored FROM nexts""",
 )
 def rul(spark, sf):
-    out = add_labels(context(spark, sf)).select("event_id", "rul_hours", "rul_censored")
+    out = add_labels(context(spark, sf, wanted=["next_incident_us"])).select("event_id", "rul_hours", "rul_censored")
     return rounded(out, "rul_hours")
 
 
@@ -124,7 +126,7 @@ def rul(spark, sf):
     + " FROM readings r",
 )
 def labels_multi_horizon(spark, sf):
-    out = add_labels(context(spark, sf))
+    out = add_labels(context(spark, sf, wanted=["next_incident_us"]))
     return out.select("event_id", *[f"label_incident_{h}h" for h in (6, 12, 24, 48)])
 
 
@@ -150,7 +152,8 @@ def labels_multi_horizon(spark, sf):
     FROM both_prev b""",
 )
 def history_features(spark, sf):
-    out = add_history(context(spark, sf)).select(
+    past = ["last_end_us", "last_incident_us", "n_incidents_7d", "n_incidents_30d", "n_maintenance_30d"]
+    out = add_history(context(spark, sf, wanted=past)).select(
         "event_id",
         "time_since_last_maintenance_h",
         "time_since_last_incident_h",
