@@ -44,7 +44,7 @@ class CodeIndex:
         if 2 * self.size > len(self.keys):
             old = self.keys != 0
             keys, held = self.keys[old], self.slots[old]
-            self._clear(int(4 * self.size).bit_length())
+            self._clear(int(2 * self.size).bit_length())
             self._put(keys, held)
         self._put(codes, slots)
         return slots

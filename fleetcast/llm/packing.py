@@ -41,7 +41,7 @@ def token_count(text: Column, vocabulary: str) -> Column:
 
     def count(texts: pa.Array) -> pa.Array:
         words, out = encoder(vocabulary), []
-        for part in slices(pa.record_batch({"text": texts}), "text"):
+        for part in slices(pa.record_batch({"text": texts}), "text", 1 << 20):
             raw, at = text_bytes(part.column("text"))
             start, slot = words.pieces(raw, at)
             total = np.concatenate([[0], np.cumsum(words.counts(slot))])

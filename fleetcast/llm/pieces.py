@@ -18,7 +18,7 @@ from fleetcast.llm.code_index import CodeIndex, Grown, gather
 from fleetcast.llm.words import span_codes, text_bytes
 
 #: distinct pieces that a worker remembers before it starts over
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 _AT_ONCE = 1 << 12
 
 _VISIBLE = np.zeros(256, bool)

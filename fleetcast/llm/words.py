@@ -6,6 +6,7 @@ so it never depends on how Spark cut the rows into batches.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,10 +56,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(base), np.multiply.accumulate(back)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system; workers live on and serve the next stages too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with at most ``limit`` bytes of text (one row at least)."""
     if not batch.num_rows:
         return
+    give_back()
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(size) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
