@@ -43,7 +43,7 @@ WORDS = 5
 #: similarity as a fraction, so that the comparison is exact in integers
 SIMILARITY = (4, 5)
 #: a band reaches to this many times its smallest size
-BAND_RATIO = 1.25
+BAND_RATIO = 1.5
 #: segments more than units, as a share
 SPARE = 0.2
 #: largest size whose band uses one-deletion neighbourhoods
