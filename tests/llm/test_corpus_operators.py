@@ -347,6 +347,32 @@ def test_pipeline_against_a_plain_version(spark):
         assert empty.columns == corpus(spark, "documents").columns and empty.count() == 0, name
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, an empty and a very long text, a column named like a result."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, toxicity string, secrets string"
+    texts = [None, "", "plain words only", "plain words only", "password = hunter2hunter2 end", "long " * 60_000]
+    rows = [(i, t, "en", "s", len(t or ""), "own", None) for t in texts for i in (None, 7, 7, 8)]
+    df = spark.createDataFrame(rows, schema)
+    key = lambda r: tuple((v is not None, v) for v in r)
+    kept = corpus_pipeline.drop_toxic(spark, df, SF)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=key) == sorted(rows, key=key)
+    masked = corpus_pipeline.mask_secret_spans(spark, df, SF)
+    assert masked.columns == df.columns
+    got = sorted(map(tuple, masked.collect()), key=key)
+    assert len(got) == len(rows) and not any("hunter2" in (r[1] or "") for r in got)
+    assert all(r[4] == len(r[1]) for r in got if r[1] is not None) and sum(r[5] == "own" for r in got) == len(rows)
+    packed = corpus_pipeline.pack_buckets(spark, df, SF)
+    assert {r.doc_id for r in packed.collect()} == {None, 7, 8}
+
+
+def test_very_long_urls(spark):
+    long = "http://A.example.com/" + "x" * 200_000
+    rows = [(1, long), (2, long + "?q"), (3, "y" * 300_000), (4, "http://" + "h" * 100_000 + ".net/p")]
+    got = {r.page_id: (r.host[-12:], len(r.path), r.rule, r.verdict) for r in url_cascade.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert got[1][:2] == (".example.com", 200_001) and got[1][1:] == got[2][1:]
+    assert got[3] == ("", 0, None, "allow") and got[4] == ("hhhhhhhh.net", 2, "net/", "block")
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(spark, name):
     import duckdb
