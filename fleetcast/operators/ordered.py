@@ -27,18 +27,36 @@ CHUNKS_CONF = "spark.fleetcast.orderChunks"
 
 _POS_MASK = (1 << 33) - 1
 
+#: bytes of a chunk at most, and how much wider rows are in memory than in their files
+CHUNK_BYTES = 256 << 20
+EXPANSION = 3
+_UNKNOWN = 1 << 60
+
 # rank error of the quantile sketch is 1 / accuracy; brackets are several errors wide
 _SKETCH_ACCURACY = 10_000
 _BRACKET = 4
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the sources of ``df`` hold, as far as the planner knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < _UNKNOWN)
+
+
+def _chunk_count(df: DataFrame) -> int | None:
+    """Chunks for an input that the session's shuffle partitions would make too large; None: AQE sizes them."""
+    wanted = -(-input_bytes(df) * EXPANSION // CHUNK_BYTES)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def order_chunks(df: DataFrame, by: Sequence[str], parts: int | None = None) -> DataFrame:
     """Range-partition ``df`` on ``by`` and stage it with a chunk number and a position.
 
     Rows equal in ``by`` share a chunk; chunk numbers follow the order of ``by``.
     """
-    fixed = parts or df.sparkSession.conf.get(CHUNKS_CONF, None)
     # without a fixed number, AQE sizes the chunks from the shuffle statistics
+    fixed = parts or df.sparkSession.conf.get(CHUNKS_CONF, None) or _chunk_count(df)
     spread = (int(fixed), *by) if fixed else tuple(by)
     ranged = df.repartitionByRange(*spread).sortWithinPartitions(*by)
     # monotonically_increasing_id() = partition number and row position in sorted order

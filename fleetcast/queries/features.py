@@ -318,10 +318,12 @@ def clean_log(spark, sf, *payload):
         f"count(*) FILTER (WHERE {s} IS NULL) AS n_null_{s}"
         for s in SENSORS
     )
-    + " FROM clean",
+    + ", (SELECT count(*) - count(DISTINCT (user_id, us)) FROM readings) AS n_duplicates_removed FROM clean",
 )
 def clean_metrics(spark, sf):
-    return metrics_of_clean(clean_log(spark, sf), LOG)
+    # one number: readings beyond the first of their key
+    repeated = log_readings(spark, sf).groupBy("user_id", "us").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return metrics_of_clean(clean_log(spark, sf), LOG, repeated)
 
 
 _QUALITY = [f"n_{m}_{h}h" for m in ("imputed", "outlier", "saturated") for h in HOURS]

@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
+
+T = TypeVar("T")
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -67,6 +73,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def in_parallel(tasks: Sequence[Callable[[], T]], most: int = 4) -> list[T]:
+    """Results of independent pieces of work, their Spark jobs submitted from driver threads."""
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    with ThreadPoolExecutor(min(most, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as parquet and read it back.
 

@@ -246,6 +246,22 @@ def test_quantiles_match_linear_interpolation(spark, chunks, n):
     assert got["a"]["n"] == n
 
 
+def test_chunks_follow_the_input(spark, monkeypatch, tmp_path):
+    """More chunks than shuffle partitions where these would be too large; sources of unknown size don't count."""
+    from fleetcast.operators import ordered
+
+    spark.range(5000).select("id", (F.col("id") * 7919 % 5003).alias("k")).repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = ordered.input_bytes(df)
+    assert 5000 < size < 10**6 and ordered.input_bytes(df.join(df.withColumnRenamed("id", "j"), "k")) == 2 * size
+    assert ordered.input_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) == 0
+    assert ordered._chunk_count(df) is None
+    monkeypatch.setattr(ordered, "CHUNK_BYTES", size * ordered.EXPANSION // 9)
+    chunked = ordered.order_chunks(df, ["k"])
+    assert 9 <= chunked.select(ordered.CHUNK).distinct().count() <= 10
+    assert [r.k for r in ordered.with_index(chunked).orderBy(ordered.IDX).collect()] == sorted(i * 7919 % 5003 for i in range(5000))
+
+
 def test_dates_are_utc(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     df = frame(spark, [(dt.datetime(1970, 1, 1, 1),)], "timestamp timestamp_ntz")
