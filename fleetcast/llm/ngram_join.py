@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.llm.components import components, forest
 from fleetcast.llm.frames import input_columns, measured_join
-from fleetcast.llm.words import NOT_BLANK, mix, slices, span_codes, text_bytes, windows, word_spans
+from fleetcast.llm.words import NOT_BLANK, give_back, mix, slices, span_codes, text_bytes, tidied, windows, word_spans
 from fleetcast.session import stage
 
 WORDS = 5
@@ -323,9 +323,10 @@ def candidates(docs: DataFrame, rows: int, k: int = WORDS, t: tuple[int, int] =
                         if held.full():
                             yield from held.flush()
         yield from held.flush()
+        give_back()
 
     packed = docs.select("text").mapInArrow(index, _PACKED)
-    return stage(packed.groupBy("part").applyInArrow(lambda x: _buckets(x, parts, t), _FOUND))
+    return stage(packed.groupBy("part").applyInArrow(lambda x: tidied(_buckets(x, parts, t)), _FOUND))
 
 
 def large_buckets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -379,6 +380,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, t: tuple[int, int] = SIMILAR
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             good = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -433,7 +435,7 @@ def verify_large(large: DataFrame, sets: DataFrame, t: tuple[int, int] = SIMILAR
     tiles = spread.filter("keeper").select("hub", "a", (own % F.col("kb")).alias("i"), upto("mb").alias("j"), F.lit(True).alias("keeper"))
     tiles = tiles.unionByName(spread.filter("member").select("hub", "a", upto("kb").alias("i"), (own % F.col("mb")).alias("j"), F.lit(False).alias("keeper")))
     filled = tiles.join(sets.withColumnRenamed("class", "a"), "a")
-    return filled.groupBy("hub", "i", "j").applyInArrow(lambda x: _tile(x, t), "a long, b long")
+    return filled.groupBy("hub", "i", "j").applyInArrow(lambda x: tidied(_tile(x, t)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcast.llm.words import give_back
+
 KINDS = ("assign", "access", "hex", "entropy")
 BASE_KINDS = KINDS[:3]
 
@@ -131,6 +133,7 @@ def secret_spans(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def _spans(texts: pa.Array) -> pa.Array:
+    give_back()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     rows = ([{"kind": k, "start": a, "end": b} for a, b, k in secret_spans(t.as_py())] for t in texts)
     return pa.array(rows, kind)
@@ -161,6 +164,7 @@ def secrets_summary(found: DataFrame, doc_id: str = "doc_id", result: str = "sec
 
 
 def _masked(texts: pa.Array) -> pa.Array:
+    give_back()
     out = []
     for t in texts:
         text = t.as_py()

@@ -64,6 +64,12 @@ def give_back() -> None:
         trim(0)
 
 
+def tidied(result):
+    """``result``, after what made it has been given back."""
+    give_back()
+    return result
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with at most ``limit`` bytes of text (one row at least)."""
     if not batch.num_rows:
