@@ -132,6 +132,17 @@ class Paths:
             left, cut = int(tree.left[node]), int(tree.bin[node])
             for child, bounds in ((left, (a, min(b, cut))), (left + 1, (max(a, cut), b))):
                 stack.append((child, {**held, c: (*bounds, share * float(tree.cover[child] / tree.cover[node]))}))
+        self._tabled: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def tabled(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per column of a leaf's path: its bit of the pattern for each code, and its attribution for each pattern."""
+        if leaf not in self._tabled:
+            value, cols, low, high, z = self.leaves[leaf]
+            d, code = len(cols), np.arange(256)
+            bits = [((code > a) & (code <= b)).astype(np.uint8) << j for j, (a, b) in enumerate(zip(low, high, strict=True))]
+            patterns = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+            self._tabled[leaf] = np.array(bits, np.uint8), np.ascontiguousarray((value * _shares(patterns.astype(float), z)).T)
+        return self._tabled[leaf]
 
     @property
     def base(self) -> float:
@@ -157,20 +168,31 @@ def _shares(met: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 def tree_shapley(trees: Sequence[Tree], codes: np.ndarray, paths: Sequence[Paths] | None = None) -> tuple[np.ndarray, float]:
     """Attributions of each row to each column, and the base; both add up to the margin."""
-    out, base = np.zeros(codes.shape), 0.0
+    # a line a column: the work of a leaf goes over whole lines
+    lines, out, base = np.ascontiguousarray(codes.T), np.zeros(codes.T.shape), 0.0
     for part in paths or [Paths(t) for t in trees]:
         base += part.base
-        for value, cols, low, high, z in part.leaves:
+        for leaf, (value, cols, low, high, z) in enumerate(part.leaves):
             if not cols or value == 0.0:
                 continue
-            met = np.stack([(codes[:, c] > a) & (codes[:, c] <= b) for c, a, b in zip(cols, low, high, strict=True)], axis=1)
             d = len(cols)
             if d <= _TABLED:
-                patterns = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
-                out[:, cols] += value * _shares(patterns.astype(float), z)[met @ (1 << np.arange(d))]
+                bits, table = part.tabled(leaf)
+                pattern = bits[0][lines[cols[0]]]
+                for j in range(1, d):
+                    pattern |= bits[j][lines[cols[j]]]
+                for j, c in enumerate(cols):
+                    out[c] += table[j][pattern]
             else:
-                out[:, cols] += value * _shares(met.astype(float), z)
-    return out, base
+                met = np.stack([(lines[c] > a) & (lines[c] <= b) for c, a, b in zip(cols, low, high, strict=True)], axis=1)
+                out[cols] += (value * _shares(met.astype(float), z)).T
+    return np.ascontiguousarray(out.T), base
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Few partitions of rows are dealt out over all cores: a row costs far more than its move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def tree_attributions(df: DataFrame, model: TreeModel, keep: Sequence[str] = ()) -> DataFrame:
@@ -189,7 +211,7 @@ def tree_attributions(df: DataFrame, model: TreeModel, keep: Sequence[str] = ())
 
     rows = df.select(*columns, *[F.col(c).alias(f"_keep_{c}") for c in keep])
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(explain, f"{kinds}margin double, base double, attributions array<double>")
+    return _spread(rows).mapInArrow(explain, f"{kinds}margin double, base double, attributions array<double>")
 
 
 def tree_importance(df: DataFrame, model: TreeModel) -> DataFrame:
@@ -204,6 +226,6 @@ def tree_importance(df: DataFrame, model: TreeModel) -> DataFrame:
             total, n = total + np.abs(phi).sum(axis=0), n + len(phi)
         yield pa.record_batch([pa.array(names, pa.string()), pa.array(total), pa.array(np.full(len(names), n))], names=["feature", "total", "n"])
 
-    sums = df.select(*columns).mapInArrow(add_up, "feature string, total double, n long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = _spread(df.select(*columns)).mapInArrow(add_up, "feature string, total double, n long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     # one row per feature
     return _shared(sums.select("feature", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("mean_abs")))
