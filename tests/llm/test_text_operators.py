@@ -6,11 +6,12 @@ import hashlib
 import math
 import random
 
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetcast.llm import decontaminate, edit_counts, packing, secrets, token_files
+from fleetcast.llm import decontaminate, edit_counts, packing, pieces, secrets, token_files
 from fleetcast.llm.frames import new_folder
 from tests.llm import brute
 
@@ -324,3 +325,19 @@ def test_batches_equal_a_plain_packing(spark, chunks):
 
 def test_row_without_text_column_types():
     assert token_files.TokenFile.open(token_files._file(__import__("numpy").array([5, 2], "uint16"), pa.table({"doc_id": [1], "n_tokens": [2]}), 0, 0, 4)).tokens == 2
+
+
+def test_frequent_pieces_outlive_a_full_store(monkeypatch):
+    """Ever new words fill the store again and again; the words that come back are encoded once all the same."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain = pieces.PieceEncoder(path, 64), pieces.PieceEncoder(path)
+    asked = []
+    monkeypatch.setattr(words, "direct", lambda texts: asked.extend(texts) or plain.direct(texts))
+    common = [f" common{k}" for k in range(10)]
+    for turn in range(40):
+        text = "start" + "".join(common) + "".join(f" new{turn}x{k}" for k in range(30))
+        ids, at = words.encode(pa.array([text, "", text]))
+        want = plain.direct([text])[0]
+        assert ids.tolist() == want + want and at.tolist() == [0, len(want), len(want), 2 * len(want)]
+        assert words.index.size <= 64 + 41
+    assert [asked.count(c) for c in common] == [1] * 10 and asked.count(" new39x3") == 1
