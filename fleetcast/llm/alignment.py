@@ -38,15 +38,15 @@ from tokenizers import Tokenizer
 from fleetcast.llm.code_index import CodeIndex, Grown, gather
 from fleetcast.llm.frames import input_columns, measured_join
 from fleetcast.llm.pieces import cut_points
-from fleetcast.llm.words import slices, span_codes, text_bytes
+from fleetcast.llm.words import give_back, slices, span_codes, text_bytes, tidied
 from fleetcast.session import stage
 
 #: text of a block; its parts, pairs and counts are one task's work
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: links that a worker remembers before it starts over with the next block
 REMEMBERED_LINKS = 1 << 23
 _AT_ONCE = 1 << 12
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _ROWS = 1 << 12
 
 _DOC, _PARTS, _PAIR = 0, 1, 2
@@ -290,8 +290,11 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str =
                 if block.size >= block_bytes:
                     yield from block.rows(schema)
                     block = None
+                    give_back()
         if block is not None:
             yield from block.rows(schema)
+            block = None
+        give_back()
 
     rows = stage(plain.mapInArrow(blocks, f"doc_id {id_type}, {arrow}"))
     pairs = rows.filter(F.col("kind") == _PAIR).select("block", "place", "a", "b", "n")
@@ -319,4 +322,4 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str =
 
     schema = f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     texts = rows.filter(F.col("kind") != _PAIR).select("block", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "items", "pairs")
-    return texts.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(settle, schema)
+    return texts.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(lambda mine, counts: tidied(settle(mine, counts)), schema)
