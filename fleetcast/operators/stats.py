@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetcast.operators.ordered import average_ranks, quantiles
 from fleetcast.operators.radix import column_quantiles
 from fleetcast.operators.reshape import long_rows, measures_long
 from fleetcast.roles import PII_PATTERNS
+from fleetcast.session import stage
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -233,8 +238,91 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50) -> DataFrame:
     )
 
 
+#: rows of a group that one task takes for its box plot
+GROUP_ROWS = 1 << 20
+
+
 def boxplot(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Quartiles and whisker ends (last value within 1.5 IQR) per group and column."""
+    """Quartiles and whisker ends (last value within 1.5 IQR) per group and column.
+
+    Groups of up to ``GROUP_ROWS`` rows move once, to the task that sorts their values; larger ones are
+    bracketed by a sketch and ordered in chunks. Both are exact. Rows without a key are left out.
+    """
+    known = df.filter(F.col(key).isNotNull()).select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    sizes = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    large = stage(sizes.filter(F.col("_n") > GROUP_ROWS).select(key))
+    whole = large.isEmpty()
+    out = _boxes(known if whole else known.join(large, key, "left_anti"), key, cols)
+    return out if whole else out.unionByName(_ordered_boxplot(known.join(large, key, "left_semi"), key, cols))
+
+
+def _boxes(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """Box plots of groups that fit one task."""
+    begins = F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1
+    numbered = df.select(F.col(key).alias("_key"), begins.alias("_start"), *[F.col(c).alias(f"_{j}") for j, c in enumerate(cols)])
+    made = T.StructType(
+        [T.StructField("measure", T.StringType()), T.StructField(key, df.schema[key].dataType)]
+        + [T.StructField(n, T.DoubleType()) for n in (*_QUARTILES, "whisker_low", "whisker_high")]
+    )
+    return numbered.mapInArrow(group_boxes(list(cols), key), made)
+
+
+def group_boxes(cols: Sequence[str], key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Partition function: rows of whole groups in (``_start`` marks the first of each), a row per group and column out.
+
+    NaN counts as the largest value, as in Spark's order. Only the rows of the last, unfinished group are held.
+    """
+
+    def one(values: pa.ChunkedArray, group: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+        valid = pc.is_valid(values).to_numpy()
+        v, g = pc.fill_null(values, 0.0).to_numpy()[valid], group[valid]
+        order = np.lexsort((v, g))
+        v = v[order]
+        found, n = np.unique(g, return_counts=True)
+        at, begin = np.arange(len(v)), np.cumsum(n) - n
+        of = np.repeat(np.arange(len(found)), n)
+        quartiles = []
+        with np.errstate(invalid="ignore"):
+            for p in _QUARTILES.values():
+                place = p * (n - 1)
+                lo, hi = v[begin + np.floor(place).astype(np.int64)], v[begin + np.ceil(place).astype(np.int64)]
+                quartiles.append(lo + (place - np.floor(place)) * (hi - lo))
+            reach = 1.5 * (quartiles[2] - quartiles[0])
+            low, high = (quartiles[0] - reach)[of], (quartiles[2] + reach)[of]
+            above, below = (v >= low) | np.isnan(v), (v <= high) | np.isnan(high)
+        if not len(found):
+            return found, [pa.array([], pa.float64())] * 5
+        first = np.minimum.reduceat(np.where(above, at, len(v)), begin)
+        last = np.maximum.reduceat(np.where(below, at, -1), begin)
+        ends = [pa.array(v[np.clip(i, 0, len(v) - 1)], mask=(i < 0) | (i == len(v))) for i in (first, last)]
+        return found, [*[pa.array(q) for q in quartiles], *ends]
+
+    def boxes(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        begins = rows["_start"].to_numpy()
+        group, keys = np.cumsum(begins) - 1, rows["_key"].filter(pa.array(begins)).combine_chunks()
+        for j, c in enumerate(cols):
+            found, columns = one(rows[f"_{j}"], group)
+            names = ["measure", key, *_QUARTILES, "whisker_low", "whisker_high"]
+            yield pa.record_batch([pa.array([c] * len(found), pa.string()), keys.take(pa.array(found)), *columns], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_start").to_numpy(zero_copy_only=False))
+            if len(starts) and (held or starts[-1]):
+                yield from boxes([*held, batch.slice(0, starts[-1])])
+                held, batch = [], batch.slice(starts[-1])
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield from boxes(held)
+
+    return run
+
+
+def _ordered_boxplot(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """Box plots of groups of any size."""
     long = measures_long(df, cols, [key])
     q = quantiles(long, ["measure", key], "value", _QUARTILES).drop("n")
     iqr = F.col("q3") - F.col("q1")

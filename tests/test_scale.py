@@ -1,0 +1,52 @@
+"""Steps that must stay cheap on large tables: what they build, and that the cheap way gives the same rows."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fleetcast.operators import stats
+from tests.helpers import by
+
+NAN = float("nan")
+
+
+def _boxed(rows, at):
+    """Plain box plots: NaN is the largest value, as in Spark."""
+    out = {}
+    for k in {r[0] for r in rows if r[0] is not None}:
+        v = sorted((r[at] for r in rows if r[0] == k and r[at] is not None), key=lambda x: (x != x, x))
+        if v:
+            q1, mid, q3 = (float(np.quantile(v, p)) for p in (0.25, 0.5, 0.75))
+            low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            out[k] = (q1, mid, q3, min(x for x in v if x >= low), max(x for x in v if x <= high))
+    return out
+
+
+_ROWS = [(k, float((i * 7919) % 83) ** 2, None if (i + k) % 3 == 0 else float(i % 5)) for k in range(7) for i in range(1 + 13 * k)]
+_ROWS += [(None, 1.0, 2.0), (50, None, None), (51, None, 4.0), (3, 1e9, -1e9)]
+
+
+@pytest.mark.parametrize("most", [10, 1 << 20])
+def test_box_plots_of_small_and_large_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "GROUP_ROWS", most, raising=False)
+    out = by(stats.boxplot(spark.createDataFrame(_ROWS, "k int, a double, b double"), "k", ["a", "b"]), "measure", "k")
+    for name, at in (("a", 1), ("b", 2)):
+        got = {r["k"]: (r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"]) for r in out if r["measure"] == name}
+        want = _boxed(_ROWS, at)
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == pytest.approx(want[k])
+
+
+def test_box_plots_of_small_groups_build_no_order(spark, monkeypatch):
+    def no_order(*_):
+        raise AssertionError("groups that fit a task need no sketch and no order")
+
+    monkeypatch.setattr(stats, "quantiles", no_order)
+    rows = [("x", 1.0), ("x", NAN), ("x", 2.0), ("x", 3.0), ("y", NAN), ("z", -0.0)]
+    out = {r["k"]: r for r in stats.boxplot(spark.createDataFrame(rows, "k string, v double"), "k", ["v"]).collect()}
+    assert (out["x"]["q1"], out["x"]["median"]) == (1.75, 2.5) and np.isnan(out["x"]["whisker_high"])
+    assert np.isnan(out["y"]["median"]) and out["z"]["whisker_low"] == 0.0
+    assert stats.boxplot(spark.createDataFrame([], "k string, v double"), "k", ["v"]).collect() == []
