@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetcast.operators import stats
+from fleetcast.operators.ordered import CHUNK, carry_over, crossing_rows
+from fleetcast.plans import silver
 from tests.helpers import by
+from tests.test_layers import plant
 
 NAN = float("nan")
 
@@ -50,3 +53,28 @@ def test_box_plots_of_small_groups_build_no_order(spark, monkeypatch):
     assert (out["x"]["q1"], out["x"]["median"]) == (1.75, 2.5) and np.isnan(out["x"]["whisker_high"])
     assert np.isnan(out["y"]["median"]) and out["z"]["whisker_low"] == 0.0
     assert stats.boxplot(spark.createDataFrame([], "k string, v double"), "k", ["v"]).collect() == []
+
+
+def test_carry_reads_only_keys_that_cross_a_limit(spark):
+    rows = [(0, None, 1), (0, "a", 2), (0, "b", 3), (1, "b", 4), (1, "b", 5), (1, "c", 6), (2, "d", 7), (2, None, 8)]
+    chunked = spark.createDataFrame(rows, f"{CHUNK} int, k string, v long")
+    assert {r["v"] for r in crossing_rows(chunked, "k").collect()} == {1, 3, 4, 5, 8}
+    for backward in (False, True):
+        told = [
+            {tuple(r) for r in carry_over(chunked, ["k"], {"s": F.sum("v")}, {"s": F.sum}, backward=backward, **more).select("k", CHUNK, "s").collect()}
+            for more in ({}, {"lead": "k"})
+        ]
+        assert told[0] == told[1] == ({("b", 0, 9), (None, 0, 8)} if backward else {("b", 1, 3), (None, 2, 1)})
+
+
+def test_clean_layer_asks_only_for_lookups_it_keeps(spark, monkeypatch):
+    asked, plain = [], silver.event_context
+
+    def seen(*args, **more):
+        asked.append(more.get("wanted"))
+        return plain(*args, **more)
+
+    monkeypatch.setattr(silver, "event_context", seen)
+    out = silver.build_silver(plant(spark))
+    assert asked == [("segment", "during_maintenance")]
+    assert out["reading"].columns == ["reading_id", "machine_pk", "timestamp", "during_maintenance", "pieces_produced"]
