@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetcast.operators import stats
+from fleetcast.operators.logistic import LogitModel, LogitSpec, fit_all, gradient_sums, stage_rows
 from fleetcast.operators.ordered import CHUNK, carry_over, crossing_rows
 from fleetcast.plans import silver
 from tests.helpers import by
@@ -78,3 +79,30 @@ def test_clean_layer_asks_only_for_lookups_it_keeps(spark, monkeypatch):
     out = silver.build_silver(plant(spark))
     assert asked == [("segment", "during_maintenance")]
     assert out["reading"].columns == ["reading_id", "machine_pk", "timestamp", "during_maintenance", "pieces_produced"]
+
+
+def test_gradient_added_up_from_the_raw_columns(spark):
+    rows = [(float(i % 7) if i % 5 else None, "x" if i % 3 else None, int(i % 4 == 0), None if i == 9 else int(i % 6 < 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, c string, y int, z int")
+    spec = [LogitSpec(k, {"a": 2.0}, {"c": ("x", "y")}, {"c": "y"}, (1.0, w)) for k, w in enumerate((3.0, 2.0))]
+    models = [LogitModel(s, (1.0, 0.5, 0.25), (2.0, 1.0, 0.5), (0.3, -0.2, 0.1), 0.4, 0.0, 1) for s in spec]
+    for (n, positive, g), m, at in zip(gradient_sums(df, models, ["y", "z"]), models, (2, 3), strict=True):
+        x = np.array([[2.0 if r[0] is None else r[0], r[1] == "x", r[1] is None] for r in rows], float)
+        x = (x - m.means) / m.spreads
+        y = np.array([np.nan if r[at] is None else r[at] for r in rows])
+        p = 1 / (1 + np.exp(-(0.4 + x @ m.coefficients)))
+        r = np.nan_to_num(np.where(y == 1, m.spec.weights[1], 1.0) * (p - y))
+        assert (n, positive) == (60, np.nansum(y))
+        assert g == pytest.approx([r.sum(), *(r @ x + np.array(m.coefficients))])
+
+
+def test_fits_that_share_rows_equal_fits_alone(spark):
+    rows = [(i, float((i * 37) % 11) if i % 6 else None, "u" if i % 4 else "w", int((i * 13) % 5 < 2), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, a double, c string, y int, z int")
+    levels = {"c": ("u", "w")}
+    specs = [LogitSpec(k, {"a": m}, levels, {"c": "u"}, (1.0, 2.0), end) for m, end in ((4.0, 50), (5.0, None), (4.0, None)) for k in (0, 1)]
+    staged = stage_rows(df, ["a"], levels, ["y", "z"], "i")
+    for spec, model in zip(specs, fit_all(staged, ["a"], levels, specs), strict=True):
+        alone = fit_all(staged, ["a"], levels, [spec])[0]
+        assert model.spec == spec and model.coefficients == pytest.approx(alone.coefficients, abs=1e-9)
+        assert model.gradient < 1e-6 and model.means == alone.means
