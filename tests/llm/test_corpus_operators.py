@@ -185,6 +185,48 @@ def test_vector_recall_of_a_hot_group(spark, monkeypatch):
     assert [got[i] for i in range(n)] == true.tolist()
 
 
+def _dealt_to_blocks(spark, monkeypatch, x):
+    """(vec_id, n_links, component_id) rows, rows sent to the tiles, and the blocks."""
+    seen, dealt = [], pq_dedup._dealt
+    monkeypatch.setattr(pq_dedup, "_dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, pq_dedup.near_vectors(rows).select("vec_id", "n_links", "component_id").collect()))
+    return got, seen[0][0].count(), seen[0][1]
+
+
+def test_vectors_are_sent_in_proportion(spark, monkeypatch):
+    """Unstructured vectors probe more lists in a larger table; rows are sent per block, of which there are as many."""
+    monkeypatch.setattr(pq_dedup, "LIST_VECTORS", 16)
+    monkeypatch.setattr(pq_dedup, "BLOCK_VECTORS", 64)
+    x = np.random.default_rng(5).normal(size=(4000, 32)).astype(np.float32)
+    for n in (1000, 4000):
+        _, sent, blocks = _dealt_to_blocks(spark, monkeypatch, x[:n])
+        assert pq_dedup.BLOCKS <= len(blocks.low) <= 2 * pq_dedup.BLOCKS and sent <= len(blocks.low) * n
+
+
+@pytest.mark.parametrize("most", [16, 150])
+def test_lists_cut_over_blocks(spark, monkeypatch, most):
+    """A hot list larger than a block is cut; links inside it, across blocks and of equal vectors are all counted."""
+    rng = np.random.default_rng(8)
+    n, d = 1500, 24
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    x[:400] = x[0] + np.float32(0.25) * rng.normal(size=(400, d)).astype(np.float32)
+    x[400:420] = x[10:30]
+    rng.shuffle(x)
+    monkeypatch.setattr(pq_dedup, "BLOCK_BYTES", 4 * d * most)
+    got, sent, blocks = _dealt_to_blocks(spark, monkeypatch, x)
+    assert blocks.parts.max() > 1 and sent > n and (most > 16 or len(blocks.low) > 64)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = u @ u.T >= pq_dedup.LIMIT
+    np.fill_diagonal(linked, False)
+    links = {i: np.flatnonzero(linked[i]).tolist() for i in range(n)}
+    root = brute.components(links, [(a, b) for a, v in links.items() for b in v])
+    least = {}
+    for i in range(n):
+        least.setdefault(root[i], i)
+    assert got == [(i, len(links[i]), least[root[i]]) for i in range(n)]
+
+
 def test_malformed_urls_are_no_trap(spark):
     urls = [None, "", "no scheme", "broken", "www.example.org/x", "also broken", *(f"http://a.example.invalid/t?s={k}" for k in range(3))]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
